@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chunkloom.llm.answers import defects
 from chunkloom.llm.docpairs import doc_pairs
+from chunkloom.llm.sourcecheck import broken_files, broken_rates
 from chunkloom.session import table
 
 
@@ -16,6 +18,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return doc_pairs(table(spark, d, "chunks")).select("chunk_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects(table(spark, d, "per_question")).filter("row_id is not null").select("row_id", "defect").distinct()
+
+
+def p4_triggered(spark: SparkSession, d: str) -> DataFrame:
+    return defects(table(spark, d, "per_question"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return broken_files(table(spark, d, "source_files")).select("repo_id", "file_path")
+
+
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    return broken_files(table(spark, d, "source_files"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return broken_rates(table(spark, d, "source_files"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p4_triggered, p5_found, p5_files, p5_rates)}
 
 SQL: dict[str, str] = {}
