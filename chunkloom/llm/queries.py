@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chunkloom.llm.answers import defects
 from chunkloom.llm.docpairs import doc_pairs
+from chunkloom.llm.handwritten import not_handwritten
+from chunkloom.llm.mixing import mixed, plan, report_frame, shares, token_counts
 from chunkloom.llm.sourcecheck import broken_files, broken_rates
 from chunkloom.session import table
 
@@ -38,6 +40,29 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return broken_rates(table(spark, d, "source_files"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p4_triggered, p5_found, p5_files, p5_rates)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_handwritten(table(spark, d, "chunks")).select("repo_id", "file_path")
 
-SQL: dict[str, str] = {}
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    p = plan(token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+    return report_frame(spark, p).filter("short").select("source")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p4_triggered, p5_found, p5_files, p5_rates, p7_found, p9_found, p9_shares, p9_mix)}
+
+#: Any usual tokenizer gives the same p9_found, so words and marks are counted there.
+SQL = {
+    "p9_found": """
+        with d as (select replace(lower(trim(source)), '-', '_') as source, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]|[^\\sA-Za-z0-9]')) as n from documents where trim(source) <> '')
+        select t.source from mix_targets t left join (select source, sum(n) as n from d group by source) s on s.source = t.source
+        where t.max_repeats * coalesce(s.n, 0) < t.target_share * (select sum(n) from d)""",
+}
