@@ -1,10 +1,11 @@
 """Files that nobody wrote by hand: generated, minified, copied in or mere data.
 
-Header notices label files for training. They are taken out before the features are made, so that a random forest
-learns what such files look like: how well they compress, how their characters and identifiers are spread, how long
-their lines are, how much is comment, digits or encoded text, the conventions of their paths, and how much of their
-code turns up in other repositories. Tables of numbers and encoded blocks carry no notice, so examples of these are
-made by rule and added to the training rows. A file comes out if it has a notice or the forest says so.
+Marks label files for training: notices in the header, and paths that by convention hold files of this kind. They
+are hidden from the features, so that a random forest learns what such files look like: how well they compress, how
+their characters and identifiers are spread, how long their lines are, how much is comment, digits or encoded text,
+and how much of their code turns up in other repositories. Tables of numbers and encoded blocks carry no mark, so
+examples of these are made by rule and added to the training rows. A file comes out if it is marked or the forest
+says so.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.session import cut
@@ -60,9 +61,7 @@ SHRUNK_PATH = r"(?i)[.-](?:min|bundle|packed|compiled)\.\w+$"
 SUMS = ["chars", "lines", "digits", "spaces", "coded", "comments", "names", "name_chars", "short_names", "entropy", "packed", "signs"]
 #: A chunk of fewer characters says nothing about copying.
 LEAST_COPIED = 80
-TREES, DEPTH, SEED = 40, 7, 11
-#: The weight of labelled rows; rows without a notice may be unmarked, so they must not outweigh the others.
-WEIGHT = 3.0
+TREES, DEPTH, SEED = 40, 6, 11
 #: At most so many rows train the forest; of more, a seeded sample is taken.
 MOST_TRAINING = 200_000
 MADE_ROWS = 400
@@ -115,8 +114,12 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     return out.withColumn("mark", F.xxhash64("mark") * F.when(F.col("mark").isNotNull(), 1))
 
 
+def marked_path() -> Column:
+    return F.regexp_like("file_path", F.lit(f"{COPIED_PATH}|{MADE_PATH}|{SHRUNK_PATH}"))
+
+
 def ratios(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The features of the forest from sums, longest, copied and the path."""
+    """The features of the forest from sums, longest and copied."""
     per = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     features = {
         "f_packed": per("packed", "chars"),
@@ -131,9 +134,6 @@ def ratios(df: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_line": per("chars", "lines"),
         "f_longest": F.col("longest").cast("double"),
         "f_copied": F.col("copied"),
-        "f_copied_path": F.regexp_like("file_path", F.lit(COPIED_PATH)).cast("double"),
-        "f_made_path": F.regexp_like("file_path", F.lit(MADE_PATH)).cast("double"),
-        "f_shrunk_path": F.regexp_like("file_path", F.lit(SHRUNK_PATH)).cast("double"),
     }
     return df.withColumns(features), list(features)
 
@@ -155,41 +155,46 @@ def file_sums(chunks: DataFrame) -> DataFrame:
 def made_examples(spark: SparkSession, n: int = MADE_ROWS, seed: int = SEED) -> DataFrame:
     """Rows like those of file_sums for tables of numbers and encoded blocks in source files, made by rule."""
     rng, rows = random.Random(seed), []
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(3, 10)))
     for i in range(n):
-        size = rng.randrange(6, 60)
-        if i % 2:
-            width = rng.choice([2, 4, 6, 9])
-            body = "\n".join("    " + ", ".join(rng.choice([str(rng.randrange(10**width)), f"{rng.random():.{width}f}", hex(rng.randrange(256))] if i % 4 == 1 else [str(rng.randrange(10**width))]) for _ in range(rng.randrange(8, 16))) + "," for _ in range(size))
-            text = f"DATA = [\n{body}\n]\n"
-        else:
-            body = "\n".join("    '" + "".join(rng.choice(letters if i % 4 else "0123456789abcdef") for _ in range(rng.randrange(60, 110))) + "'" for _ in range(size))
-            text = f"DATA = (\n{body}\n)\n"
-        if rng.random() < 0.5:
-            text = '"""Reads the values that the service needs when it starts."""\n\ndef load():\n    ' + text.replace("\n", "\n    ") + "return DATA\n"
+        lines, width, inner = rng.randrange(5, 45), rng.randrange(60, 110), "    " * rng.randrange(1, 3)
+        body = []
+        for _ in range(lines):
+            if i % 2:
+                most, line = 10 ** rng.randrange(2, 7) if i % 4 == 1 else 65536, ""
+                while len(line) < width:
+                    line += (str(rng.randrange(most)) if i % 8 != 3 else f"{rng.uniform(-9, 99):.{rng.randrange(2, 6)}f}" if i % 16 == 3 else hex(rng.randrange(256))) + ", "
+                body.append(inner + "    " + line.rstrip())
+            else:
+                body.append(inner + "    '" + "".join(rng.choice(alphabets[0 if i % 8 else rng.randrange(3)]) for _ in range(width)) + "'")
+        text = "\n".join([f"def {word()}_{word()}():", f"{inner}_{word()} = [" if i % 2 else f"{inner}_{word()} = (", *body, f"{inner}]" if i % 2 else f"{inner})"])
+        for _ in range(rng.randrange(0, 4)):
+            text += f"\n{inner}{word()} = {word()}({word()}, {rng.randrange(900)})"
+        if rng.random() < 0.6:
+            text = f'"""{" ".join(word() for _ in range(rng.randrange(4, 24)))}."""\n' + text
         rows.append((f"made/{i}.py", *map(float, stats(text)), max(map(len, text.split("\n"))), True, False, 0.0))
     return spark.createDataFrame(rows, "file_path string, " + ", ".join(f"{s} double" for s in SUMS) + ", longest int, notice boolean, banner boolean, copied double")
 
 
 def scored(chunks: DataFrame) -> DataFrame:
-    """(repo_id, file_path, notice, score) of every file with at least one chunk that has content.
+    """(repo_id, file_path, marked, score) of every file with at least one chunk that has content.
 
-    Null keys and contents are left out; files whose contents are all empty have features of 0. Where no file has a
-    notice the forest knows the made examples only. The number of training rows is bounded by MOST_TRAINING.
+    Null keys and contents are left out; files whose contents are all empty have features of 0. Where no file is
+    marked the forest knows the made examples only. The number of training rows is bounded by MOST_TRAINING.
     """
     files, names = ratios(cut(file_sums(chunks)))
-    labelled = F.greatest("notice", "banner")
+    files = files.withColumn("marked", F.col("notice") | marked_path())
     n = files.count()
     train = files if n <= MOST_TRAINING else files.filter(F.pmod(F.xxhash64("repo_id", "file_path"), F.lit(1_000_000)) < int(1_000_000 * MOST_TRAINING / n))
     made, _ = ratios(made_examples(chunks.sparkSession))
-    train = train.withColumn("label", labelled.cast("double")).select("label", *names).unionByName(made.withColumn("label", F.lit(1.0)).select("label", *names))
+    train = train.withColumn("label", (F.col("marked") | F.col("banner")).cast("double")).select("label", *names).unionByName(made.withColumn("label", F.lit(1.0)).select("label", *names))
     assemble = VectorAssembler(inputCols=names, outputCol="features")
-    train = assemble.transform(train.withColumn("weight", F.when(F.col("label") == 1, WEIGHT).otherwise(1.0)))
-    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, weightCol="weight", seed=SEED, minInstancesPerNode=5).fit(train)
-    out = model.transform(assemble.transform(files))
-    return out.select("repo_id", "file_path", "notice", vector_to_array("probability")[1].alias("score"))
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=SEED, minInstancesPerNode=3, featureSubsetStrategy="0.6")
+    out = forest.fit(assemble.transform(train)).transform(assemble.transform(files))
+    return out.select("repo_id", "file_path", "marked", vector_to_array("probability")[1].alias("score"))
 
 
 def not_handwritten(chunks: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(repo_id, file_path, notice, score) of the files that have a notice or a score of at least the threshold."""
-    return scored(chunks).filter(F.col("notice") | (F.col("score") >= threshold))
+    """(repo_id, file_path, marked, score) of the files that are marked or have a score of at least the threshold."""
+    return scored(chunks).filter(F.col("marked") | (F.col("score") >= threshold))
