@@ -8,6 +8,7 @@ from chunkloom.llm.answers import defects
 from chunkloom.llm.docpairs import doc_pairs
 from chunkloom.llm.handwritten import not_handwritten
 from chunkloom.llm.mixing import mixed, plan, report_frame, shares, token_counts
+from chunkloom.llm.secrets import redacted, secret_lines
 from chunkloom.llm.sourcecheck import broken_files, broken_rates
 from chunkloom.session import table
 
@@ -40,6 +41,14 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return broken_rates(table(spark, d, "source_files"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return secret_lines(table(spark, d, "chunks"))
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redacted(table(spark, d, "chunks")).distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return not_handwritten(table(spark, d, "chunks")).select("repo_id", "file_path")
 
@@ -57,7 +66,7 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p4_triggered, p5_found, p5_files, p5_rates, p7_found, p9_found, p9_shares, p9_mix)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p4_triggered, p5_found, p5_files, p5_rates, p6_found, p6_redacted, p7_found, p9_found, p9_shares, p9_mix)}
 
 #: Any usual tokenizer gives the same p9_found, so words and marks are counted there.
 SQL = {
