@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chunkloom.llm.answers import defects
 from chunkloom.llm.docpairs import doc_pairs
 from chunkloom.llm.handwritten import not_handwritten
+from chunkloom.llm.leakage import leaks
 from chunkloom.llm.mixing import mixed, plan, report_frame, shares, token_counts
 from chunkloom.llm.secrets import redacted, secret_lines
 from chunkloom.llm.sourcecheck import broken_files, broken_rates
@@ -53,6 +54,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return not_handwritten(table(spark, d, "chunks")).select("repo_id", "file_path")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     p = plan(token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"))
     return report_frame(spark, p).filter("short").select("source")
@@ -66,7 +71,7 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p4_triggered, p5_found, p5_files, p5_rates, p6_found, p6_redacted, p7_found, p9_found, p9_shares, p9_mix)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p4_triggered, p5_found, p5_files, p5_rates, p6_found, p6_redacted, p7_found, p8_found, p9_found, p9_shares, p9_mix)}
 
 #: Any usual tokenizer gives the same p9_found, so words and marks are counted there.
 SQL = {
