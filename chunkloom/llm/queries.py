@@ -11,6 +11,7 @@ from chunkloom.llm.leakage import leaks
 from chunkloom.llm.mixing import mixed, plan, report_frame, shares, token_counts
 from chunkloom.llm.secrets import redacted, secret_lines
 from chunkloom.llm.sourcecheck import broken_files, broken_rates
+from chunkloom.llm.subjects import composition, document_subjects
 from chunkloom.session import table
 
 
@@ -71,7 +72,15 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p4_triggered, p5_found, p5_files, p5_rates, p6_found, p6_redacted, p7_found, p8_found, p9_found, p9_shares, p9_mix)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return document_subjects(*[table(spark, d, t) for t in ("documents", "subject_labels", "subjects")])
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return composition(*[table(spark, d, t) for t in ("documents", "subject_labels", "subjects")])
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p4_triggered, p5_found, p5_files, p5_rates, p6_found, p6_redacted, p7_found, p8_found, p9_found, p9_shares, p9_mix, p10_found, p10_composition)}
 
 #: Any usual tokenizer gives the same p9_found, so words and marks are counted there.
 SQL = {
