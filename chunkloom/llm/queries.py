@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chunkloom.llm.answers import defects
 from chunkloom.llm.docpairs import doc_pairs
 from chunkloom.llm.handwritten import not_handwritten
 from chunkloom.llm.leakage import leaks
 from chunkloom.llm.mixing import mixed, plan, report_frame, shares, token_counts
+from chunkloom.llm.neighbours import similar, similar_pairs
 from chunkloom.llm.secrets import redacted, secret_lines
 from chunkloom.llm.sourcecheck import broken_files, broken_rates
 from chunkloom.llm.subjects import composition, document_subjects
@@ -23,6 +25,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return doc_pairs(table(spark, d, "chunks")).select("chunk_id").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(table(spark, d, "chunks"))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return similar(table(spark, d, "chunks")).withColumn("similarity", F.round("similarity", 5))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return defects(table(spark, d, "per_question")).filter("row_id is not null").select("row_id", "defect").distinct()
 
@@ -80,7 +90,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return composition(*[table(spark, d, t) for t in ("documents", "subject_labels", "subjects")])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_found, p4_triggered, p5_found, p5_files, p5_rates, p6_found, p6_redacted, p7_found, p8_found, p9_found, p9_shares, p9_mix, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_neighbours, p4_found, p4_triggered, p5_found, p5_files, p5_rates, p6_found, p6_redacted, p7_found, p8_found, p9_found, p9_shares, p9_mix, p10_found, p10_composition)}
 
 #: Any usual tokenizer gives the same p9_found, so words and marks are counted there.
 SQL = {
