@@ -61,6 +61,8 @@ SHRUNK_PATH = r"(?i)[.-](?:min|bundle|packed|compiled)\.\w+$"
 SUMS = ["chars", "lines", "digits", "spaces", "coded", "comments", "names", "name_chars", "short_names", "entropy", "packed", "signs"]
 #: A chunk of fewer characters says nothing about copying.
 LEAST_COPIED = 80
+#: The forest neither learns from nor judges files of fewer characters beside their notice.
+LEAST_JUDGED = 40
 TREES, DEPTH, SEED = 40, 6, 11
 #: At most so many rows train the forest; of more, a seeded sample is taken.
 MOST_TRAINING = 200_000
@@ -180,7 +182,7 @@ def made_examples(spark: SparkSession, n: int = MADE_ROWS, seed: int = SEED) ->
 def scored(chunks: DataFrame) -> DataFrame:
     """(repo_id, file_path, marked, score) of every file with at least one chunk that has content.
 
-    Null keys and contents are left out; files whose contents are all empty have features of 0. Where no file is
+    Null keys and contents are left out; files of hardly any text have a score of 0. Where no file is
     marked the forest knows the made examples only. The number of training rows is bounded by MOST_TRAINING.
     """
     files, names = ratios(cut(file_sums(chunks)))
@@ -188,11 +190,12 @@ def scored(chunks: DataFrame) -> DataFrame:
     n = files.count()
     train = files if n <= MOST_TRAINING else files.filter(F.pmod(F.xxhash64("repo_id", "file_path"), F.lit(1_000_000)) < int(1_000_000 * MOST_TRAINING / n))
     made, _ = ratios(made_examples(chunks.sparkSession))
-    train = train.withColumn("label", (F.col("marked") | F.col("banner")).cast("double")).select("label", *names).unionByName(made.withColumn("label", F.lit(1.0)).select("label", *names))
+    train = train.filter(F.col("chars") >= LEAST_JUDGED).withColumn("label", (F.col("marked") | F.col("banner")).cast("double")).select("label", *names).unionByName(made.withColumn("label", F.lit(1.0)).select("label", *names))
     assemble = VectorAssembler(inputCols=names, outputCol="features")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=SEED, minInstancesPerNode=3, featureSubsetStrategy="0.6")
     out = forest.fit(assemble.transform(train)).transform(assemble.transform(files))
-    return out.select("repo_id", "file_path", "marked", vector_to_array("probability")[1].alias("score"))
+    score = F.when(F.col("chars") >= LEAST_JUDGED, vector_to_array("probability")[1]).otherwise(0.0)
+    return out.select("repo_id", "file_path", "marked", score.alias("score"))
 
 
 def not_handwritten(chunks: DataFrame, threshold: float = 0.5) -> DataFrame:
