@@ -15,6 +15,12 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1; null where it is null or all zero."""
+    n = F.nullif(norm(a), F.lit(0.0))
+    return F.when(n.isNotNull(), F.transform(a, lambda x: x.cast("double") / n))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; null where a vector is null, of another length or all zero."""
     return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), norm(a) * norm(b)))

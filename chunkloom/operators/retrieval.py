@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions import paths, text, vectors
+from chunkloom.session import spread
 
 K1, B = 1.2, 0.75
 #: Both lists are cut to so many before they are merged; so many go to a reranker.
@@ -91,7 +92,9 @@ def dense_search(queries: DataFrame, chunks: DataFrame, dim: int, limit: int = P
     """
     c = chunks.filter(vectors.is_valid(F.col("embedding"), dim)).select("id", "repo_id", "file_path", "start_line", "embedding")
     q = queries.filter(vectors.is_valid(F.col("vector"), dim)).select("query_id", "repo_id", "vector")
-    scores = c.join(q, "repo_id").select("query_id", "id", "repo_id", "file_path", "start_line", F.round(vectors.cosine(F.col("embedding"), F.col("vector")), DIGITS).alias("dense_score"))
+    c = spread(c, "id").withColumn("embedding", vectors.unit(F.col("embedding")))
+    q = q.withColumn("vector", vectors.unit(F.col("vector")))
+    scores = c.join(q, "repo_id").select("query_id", "id", "repo_id", "file_path", "start_line", F.round(vectors.dot(F.col("embedding"), F.col("vector")), DIGITS).alias("dense_score"))
     once = scores.groupBy("query_id", "id").agg(*[F.max(x).alias(x) for x in ("repo_id", "file_path", "start_line", "dense_score")])
     return ranked(once, [F.desc("dense_score"), F.asc("id")], limit)
 

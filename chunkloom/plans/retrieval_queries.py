@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import keys, paths, text, vectors
 from chunkloom.operators import retrieval as R
-from chunkloom.session import table
+from chunkloom.session import spread, table
 
 QUESTION = "how does the worker validate a token span before the queue is flushed"
 DIM = 64
@@ -27,7 +27,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.lit("all").alias("repo_id"), F.col("doc_id"), "text")
+    docs = spread(table(spark, d, "documents").select(F.lit("all").alias("repo_id"), F.col("doc_id"), "text"), "doc_id")
     return R.postings(docs).select("doc_id", "term", "tf")
 
 
@@ -36,7 +36,7 @@ def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.lit("all").alias("repo_id"), "doc_id", "text")
+    docs = spread(table(spark, d, "documents").select(F.lit("all").alias("repo_id"), "doc_id", "text"), "doc_id")
     q = spark.createDataFrame([(1, "all", QUESTION)], "query_id int, repo_id string, text string")
     best = R.bm25(q, docs).orderBy(F.desc("score"), "doc_id").limit(50)
     return best.select("doc_id", F.round("score", 6).alias("score"))

@@ -41,6 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or current.get()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores where its scan has too few splits for them, as for a table of one small file; else as it is.
+
+    For work that costs far more than moving the rows. Large tables have splits enough and are never shuffled here.
+    df must be a scan with narrow steps only, so that counting its partitions plans it and runs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it from there: a cut of lineage that survives lost executors."""
     shared_dir(df.sparkSession)
