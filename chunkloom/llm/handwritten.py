@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.session import cut
+from chunkloom.session import cut, spread
 
 #: Wording of notices. Each must say that the file itself was made or brought in, not be about such files.
 NOTICE = re.compile(
@@ -112,7 +112,7 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
             columns = [pa.array(x, pa.float64()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.float64()) for _ in SUMS]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(mark, pa.string()), pa.array(longest, pa.int32()), pa.array(notice), pa.array(banner), *columns], ["repo_id", "file_path", "id", "mark", "longest", "notice", "banner", *SUMS])
 
-    out = rows.mapInArrow(run, "repo_id string, file_path string, id string, mark string, longest int, notice boolean, banner boolean, " + ", ".join(f"{s} double" for s in SUMS))
+    out = spread(rows, "repo_id", "file_path").mapInArrow(run, "repo_id string, file_path string, id string, mark string, longest int, notice boolean, banner boolean, " + ", ".join(f"{s} double" for s in SUMS))
     return out.withColumn("mark", F.xxhash64("mark") * F.when(F.col("mark").isNotNull(), 1))
 
 

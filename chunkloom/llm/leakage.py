@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.session import spread
+
 MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&(?:nbsp|lt|gt|amp|quot);")
 SIGNS = re.compile(r"[\W_]+")
 K1, B = 1.2, 0.75
@@ -183,4 +185,4 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], ["doc_id", "item_id"])
 
     rows = documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    return rows.mapInArrow(run, "doc_id bigint, item_id bigint").distinct()
+    return spread(rows, "doc_id").mapInArrow(run, "doc_id bigint, item_id bigint").distinct()

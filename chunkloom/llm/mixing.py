@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chunkloom.session import cut, spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern by which byte-level BPE splits a text before it merges.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -52,7 +54,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
 
-    return rows.mapInArrow(run, "doc_id bigint, source string, tokens bigint")
+    return spread(rows, "doc_id").mapInArrow(run, "doc_id bigint, source string, tokens bigint")
 
 
 def apportion(weights: dict, caps: dict, blocks: int) -> dict:
@@ -141,16 +143,12 @@ def select(counts: DataFrame, p: Plan, seed: int = 0) -> DataFrame:
 
 def mixed(documents: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself; tokens are counted once and kept in the shared folder."""
-    from chunkloom.session import cut
-
     counts = cut(token_counts(documents))
     return select(counts, plan(counts, targets, seed=seed), seed)
 
 
 def shares(documents: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """The report: per source its target and quota, and the tokens and share that the mix really has."""
-    from chunkloom.session import cut
-
     counts = cut(token_counts(documents))
     p = plan(counts, targets, seed=seed)
     used = select(counts, p, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"))

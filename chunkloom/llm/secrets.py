@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm.crf import Chain, hashed, train
+from chunkloom.session import spread
 
 MASK = "*****"
 #: What a line must have for a credential to be possible in it: a telling name before a sign, a login in an address or
@@ -554,7 +555,7 @@ def _mapped(chunks: DataFrame, redact: bool, schema: str) -> DataFrame:
     chain = field()
     weights = chunks.sparkSession.sparkContext.broadcast((chain.emit, chain.step))  # 2 ** BITS rows, whatever the data
     rows = chunks.filter(F.col("id").isNotNull() & F.col("content").isNotNull()).select("id", "content")
-    return rows.mapInArrow(lambda it: _run(it, weights, redact), schema)
+    return spread(rows, "id").mapInArrow(lambda it: _run(it, weights, redact), schema)
 
 
 def secret_lines(chunks: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm import datalex, jslex, pylex
+from chunkloom.session import spread
 
 LANGUAGES = {"py": "python", "json": "json", "toml": "toml", "xml": "xml", "js": "javascript"}
 ACCEPT = {"py": pylex.statements, "json": datalex.json, "toml": datalex.toml, "xml": datalex.xml, "js": jslex.javascript}
@@ -69,7 +70,7 @@ def checked(files: DataFrame) -> DataFrame:
             found = pa.array([defect(e, s) for e, s in zip(ext, source, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([LANGUAGES[e] for e in ext], pa.string()), found], ["repo_id", "file_path", "language", "defect"])
 
-    return rows.mapInArrow(run, "repo_id string, file_path string, language string, defect string")
+    return spread(rows, "repo_id", "file_path").mapInArrow(run, "repo_id string, file_path string, language string, defect string")
 
 
 def broken_files(files: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.session import spread
+
 BITS = 17
 LEAST_SENTENCES = 2
 LEAST_WORDS = 4
@@ -195,7 +197,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
                     found.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.string())], ["doc_id", "subject"])
 
-    return documents.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, subject string").distinct()
+    return spread(documents.filter("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id bigint, subject string").distinct()
 
 
 def composition(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
