@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.plans import answer_queries, graph_queries, index_queries, retrieval_queries, skew_queries
+from chunkloom.plans import agent_queries, answer_queries, graph_queries, index_queries, retrieval_queries, skew_queries
 
 FLAGSHIP = "bm25_topk"
-MODULES = (retrieval_queries, graph_queries, answer_queries, index_queries, skew_queries)
+MODULES = (retrieval_queries, graph_queries, answer_queries, index_queries, agent_queries, skew_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
