@@ -358,6 +358,23 @@ def test_subjects_held_out(spark):
     assert {x.subject for x in subjects.composition(docs, given, names).collect()} == set(words)
 
 
+def test_long_items_lose_nothing():
+    r = random.Random(6)
+    long = [f"w{r.randrange(3000)}" for _ in range(4000)]
+    ix = leakage.Index({1: " ".join(long), 2: "a b c d e f g h i j k l"})
+    part = [x if i % 12 else "other" for i, x in enumerate(long[1500:3600])]
+    assert ix.search(set(part)) == [0] and ix.holds(0, part) and not ix.holds(0, long[:1500])
+
+
+def test_empty_tables(spark):
+    none = chunks(spark, [])
+    docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
+    assert secrets.secret_lines(none).count() == 0 and secrets.redacted(none).count() == 0 and handwritten.not_handwritten(none).count() == 0
+    labels, names = spark.createDataFrame([], "doc_id bigint, subject string"), spark.createDataFrame([], "subject string, description string")
+    assert subjects.document_subjects(docs, labels, names).count() == 0
+    assert mixing.shares(docs, spark.createDataFrame([], "source string, target_share double, max_repeats int")).count() == 0
+
+
 def test_extra_columns_do_not_clash(spark):
     df = chunks(spark, [chunk("1", f'def f():\n    """{LONG}."""\n    return 1', embedding=[1.0] * 64)]).withColumns({c: F.lit(1) for c in ("uid", "pos", "kind", "class", "similarity", "rank", "mark", "notice", "neighbour")})
     assert docpairs.doc_pairs(df).count() == 1 and neighbours.similar_pairs(df).count() == 0 and secrets.secret_lines(df).count() == 0 and handwritten.scored(df).count() == 1
