@@ -126,7 +126,7 @@ def call_paths(queries: DataFrame, symbols: DataFrame, edges: DataFrame, depth:
     for d in range(depth + 1):
         reached = frontier.join(target, (frontier.query_id == target.query_id) & (frontier.id == target.target)).select(frontier.query_id, frontier.repo_id, "path", "file_path", "line", frontier["id"], frontier.qualified_name)
         w = Window.partitionBy("query_id").orderBy(*place_order(), "id")
-        reached = cut(reached.withColumn("n", F.row_number().over(w)).filter("n = 1").select("query_id", "repo_id", F.lit(d).alias("depth"), "path"))
+        reached = reached.withColumn("n", F.row_number().over(w)).filter("n = 1").select("query_id", "repo_id", F.lit(d).alias("depth"), "path")
         found = reached if found is None else found.unionByName(reached)
         if d == depth:
             break
