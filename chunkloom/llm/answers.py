@@ -192,7 +192,9 @@ def defects(rows: DataFrame) -> DataFrame:
     asked = language(F.regexp_replace(q, r"`[^`\n]*`", " "))
     r = once.withColumns({"empty": is_empty(F.col("answer")), "refusal": is_refusal(a), "copies_question": is_copy(q, a), "said": said, "asked": asked, "off": breaks_off(a), "pair": unended(a)})
     shares = end_shares(once.filter("answer is not null"))
-    r = r.join(shares, "pair", "left")
+    #: Rows that need no look-up get keys of their own, so that they don't all meet in one task.
+    key = F.coalesce("pair", F.concat(F.lit("\x00"), F.pmod(F.xxhash64("row_id"), F.lit(4096))))
+    r = r.withColumn("key", key).join(shares.withColumnRenamed("pair", "key"), "key", "left")
     rules = {
         "empty": F.col("empty"),
         "refusal": F.col("refusal"),
