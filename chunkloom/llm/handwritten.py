@@ -143,11 +143,12 @@ def ratios(df: DataFrame) -> tuple[DataFrame, list[str]]:
 def file_sums(chunks: DataFrame) -> DataFrame:
     """One row per file: its sums, whether it has a notice, and the share of its code that other repositories hold too.
 
-    A chunk counts once, however often it was delivered. The repositories of a piece of code are counted over
+    A chunk counts once, however often it was delivered; chunks are grouped by id before they are by file, so a file that
+    holds a third of all chunks makes no large group. The repositories of a piece of code are counted over
     distinct (mark, repo_id), so code that a third of all files share makes no large group.
     """
     keys = ["repo_id", "file_path"]
-    c = cut(chunk_stats(chunks).repartition(*keys).groupBy(*keys, "id").agg(*[F.first(x).alias(x) for x in ("mark", "longest", "notice", "banner", *SUMS)]))
+    c = cut(chunk_stats(chunks).groupBy(*keys, "id").agg(*[F.first(x).alias(x) for x in ("mark", "longest", "notice", "banner", *SUMS)]))
     spread = c.filter("mark is not null").select("mark", "repo_id").distinct().groupBy("mark").agg(F.count("*").alias("repos")).filter("repos > 1")
     c = c.join(spread, "mark", "left")
     copied = F.coalesce(F.try_divide(F.sum(F.when(F.col("repos") > 1, F.col("chars")).otherwise(0.0)), F.sum(F.when(F.col("mark").isNotNull(), F.col("chars")))), F.lit(0.0))
