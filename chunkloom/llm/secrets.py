@@ -54,7 +54,7 @@ OTHER_PARTS = frozenset(
     "public pub sha sha1 sha256 sha512 md5 hash checksum digest commit integrity etag request trace span id uuid guid name path file dir url uri host port max min count limit size mode ttl ref type kind prefix suffix header field column index version fingerprint env var label title hint help placeholder table blob data bytes length expiry expires at primary foreign sort cache revision".split()
 )
 STAND_INS = re.compile(
-    r"(?i)your[-_ ]?|change[-_ ]?me|^\W*(?:example|sample|dummy|fake|placeholder|redacted|hidden|masked|removed|none|null|nil|true|false|todo|tbd|undefined|insert|secret|password|passwd|token|string|str|optional|required|default|test|xxx+|n/?a)\W*$|insert[-_ ]|replace[-_ ]|_here\b|^(.)\1{5,}$|^<.*>$|^\$|^%\(|^\{\{|^(?:vault|env|ssm|secretsmanager|op|aws|gcp|kms|azure|keychain|file|secret|ref|arn):|^os\.|^process\.env|^ENC\["
+    r"(?i)(?<![a-z0-9])your(?![a-z0-9])|change[-_ ]?me|^\W*(?:example|sample|dummy|fake|placeholder|redacted|hidden|masked|removed|none|null|nil|true|false|todo|tbd|undefined|insert|secret|password|passwd|token|string|str|optional|required|default|test|xxx+|n/?a)\W*$|insert[-_ ]|replace[-_ ]|_here\b|^(.)\1{5,}$|^<.*>$|^\$|^%\(|^\{\{|^(?:vault|env|ssm|secretsmanager|op|aws|gcp|kms|azure|keychain|file|secret|ref|arn):|^os\.|^process\.env|^ENC\["
 )
 PREFIXES = re.compile(r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk[_-](?:live|test|proj)|sk-|pk_live|rk_live|xox[abprs]-|eyJ|ya29\.|AIza|SG\.|npm_|hf_|dop_v1|tok_|shpat_)")
 NOT_SECRET = re.compile(r"^(?:ssh-(?:rsa|ed25519|dss)|ecdsa-)|^sha\d+[:-]|^md5:|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
@@ -145,7 +145,7 @@ def shape(text: str) -> list[str]:
         f.append("mixed")
     if re.fullmatch(r"(?:[a-z]+-){2,}[a-z]+\d{0,4}", text):
         f.append("phrase")
-    if re.fullmatch(r"[A-Za-z]+[^\w\s]\d+\w{0,3}|[A-Za-z]+\d+[^\w\s]+\w{0,3}", text):
+    if re.fullmatch(r"[A-Za-z]+[^\w\s]\d+\w{0,3}|[A-Za-z]+\d+[^\w\s]+\w{0,3}|[A-Z][a-z]+_\d{3,}\w{0,2}", text):
         f.append("wordnum")
     if text.startswith("/") or re.search(r"^\w+(?:[./]\w+)+$", text) and not digit:
         f.append("path")
@@ -290,7 +290,7 @@ def _credential(r: random.Random) -> str:
             lambda: _chars(r, "0123456789abcdef", 40, 40),
             lambda: _chars(r, "0123456789abcdef", 64, 64),
             lambda: "-".join(r.sample(WORDS, 3)) + str(r.randint(1, 99)),
-            lambda: r.choice(WORDS).title() + r.choice("!-%#_@$.") + str(r.randint(100, 999999)) + r.choice(["", "x", "a", "qz"]),
+            lambda: r.choice(WORDS).title() + r.choice("!-%#__@$.") + str(r.randint(100, 999999)) + r.choice(["", "x", "a", "qz"]),
             lambda: r.choice(["AKIA", "ASIA"]) + _chars(r, string.ascii_uppercase + "234567", 16, 16),
             lambda: r.choice(["ghp_", "gho_", "glpat-", "sk_live_", "sk-", "xoxb-", "tok_", "npm_", "hf_", "rk-prod-", "abc."]) + _chars(r, a, 20, 40),
             lambda: "eyJ" + _chars(r, a, 15, 30) + ".eyJ" + _chars(r, a + "-_", 20, 40) + "." + _chars(r, a + "-_", 30, 45),
@@ -381,7 +381,8 @@ def made_line(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
             f"{name}_pem = {q * 3}§",
             f"{r.choice(['#', '//'])} {r.choice(WORDS)}, {r.choice(WORDS)} {r.choice(['login', 'credentials', 'account'])}: {service} / §",
         ]
-        pattern = r.choice(special) if r.random() < 0.5 else r.choice(value_of[:16])
+        special += special[7:9] * 2 + special[12:13] + special[-1:]  # logins, pairs, joined parts and remarks vary most
+        pattern = r.choice(special) if r.random() < 0.55 else r.choice(value_of[:16])
         if pattern.endswith(q * 3 + "§"):
             value = f"-----BEGIN {r.choice(['', 'RSA ', 'OPENSSH ', 'EC '])}PRIVATE KEY-----"
         if "@" in pattern and "://" in pattern or " -u " in pattern:
@@ -523,7 +524,7 @@ class Finder:
                         break
                     out.append((no, start + a, start + b))
                 bare = content[start:end].strip()
-                opens = bare.endswith(("=", "(", ":", "[")) and len(bare) < 80 and not bare.startswith(("def ", "class ", "if ", "for ", "while ", "return ", "else", "try", "with "))
+                opens = bare.endswith(("(", "[", "\\")) and len(bare) < 80 and not bare.startswith(("def ", "class ", "if ", "for ", "while ", "return ", "else", "try", "with "))
                 head, after = (bare + " ", (bare + " ", end + 1)) if opens and not head else ("", ("", -1))
                 start = end + 1 if head and end < len(content) and end + 1 >= skip else -1
         return out
