@@ -49,7 +49,7 @@ NAME = re.compile(r"^[A-Za-z_][\w.-]*$")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Parts of names that hold credentials, parts that hold something else, and text that stands for a value.
 SECRET_PARTS = frozenset("pass password passwd passphrase passcode pwd pw secret secrets token tokens key apikey auth authorization credential credentials cred creds private signing encryption webhook access client jwt bearer dsn api pem smtp db".split())
-CORE_PARTS = frozenset("pass password passwd passphrase passcode pwd pw secret secrets token apikey credential credentials cred creds auth authorization jwt bearer pem key".split())
+CORE_PARTS = frozenset("pass password passwd passphrase passcode pwd pw secret secrets token tokens apikey credential credentials cred creds auth authorization jwt bearer pem key".split())
 OTHER_PARTS = frozenset(
     "public pub sha sha1 sha256 sha512 md5 hash checksum digest commit integrity etag request trace span id uuid guid name path file dir url uri host port max min count limit size mode ttl ref type kind prefix suffix header field column index version fingerprint env var label title hint help placeholder table blob data bytes length expiry expires at primary foreign sort cache revision".split()
 )
@@ -443,10 +443,10 @@ def made_line(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
             ]
         )
     indent = " " * r.choice([0, 0, 2, 4, 8])
-    line, spans = indent, []
+    line, spans, parted = indent, [], pattern.count("§")
     for k, piece in enumerate(pattern.split("§")):
         if k:
-            v = value if k == 1 else _chars(r, string.ascii_letters + string.digits, 10, 24)
+            v = value if parted == 1 else value[: len(value) // 2] if k == 1 else value[len(value) // 2 :]
             if secret:
                 spans.append((len(line), len(line) + len(v)))
             line += v
@@ -469,12 +469,15 @@ def field(lines: int = 6000, seed: int = 5) -> Chain:
     return train(xs, ys)
 
 
+TELLING = re.compile(r"(?i)login|sign_?in|authenticate|account|credential")
+
+
 def possible(tokens: list[tuple[str, int, str, bool]]) -> bool:
     """Whether any token could be a secret: a value of some length that is no plain word or number, or goes to a telling name."""
     if any(k == "pem" for _, _, k, _ in tokens):
         return True
-    telling = any(k == "word" and kind_of_name(t) == "secret" for t, _, k, _ in tokens)
-    return any(k == "word" and len(t) >= 6 and (telling or not re.fullmatch(r"[A-Za-z_]+|[\d._]+|[\w.]*[a-z_]+\(?", t)) for t, _, k, _ in tokens)
+    telling = any(k == "word" and (kind_of_name(t) == "secret" or TELLING.search(t)) for t, _, k, _ in tokens)
+    return any(k == "word" and len(t) >= 6 and (telling or PREFIXES.match(t) or not re.fullmatch(r"[A-Za-z_]+|[\d._]+|[\w.]*[a-z_]+\(?", t)) for t, _, k, _ in tokens)
 
 
 BLOCK_END = re.compile(r"-----END [A-Z0-9 ]+-----")
