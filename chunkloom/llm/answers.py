@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.session import spread
+
 #: Words that stand for no answer, headings of answers, and words by which languages are told apart.
 PLACEHOLDERS = "null|none|nil|nan|undefined|n/?a|tbd|todo|empty|unknown|no answer|no response|keine antwort|keine angabe|sin respuesta|pas de réponse|sans réponse|无|暂无|待定|没有答案"
 HEADINGS = "(?:final |short )?answer|response|reply|result|antwort|ergebnis|réponse|résultat|respuesta|resultado|回答|答案|答"
@@ -187,11 +189,13 @@ def defects(rows: DataFrame) -> DataFrame:
     it. Repeated rows of a row_id count once. An empty table gives no rows; very long answers are read whole.
     """
     q, a = F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))
-    once = rows.select("row_id", "question", "answer").distinct()
+    given = spread(rows.select("row_id", "question", "answer"), "row_id")
     said = language(prose(q, a))
     asked = language(F.regexp_replace(q, r"`[^`\n]*`", " "))
-    r = once.withColumns({"empty": is_empty(F.col("answer")), "refusal": is_refusal(a), "copies_question": is_copy(q, a), "said": said, "asked": asked, "off": breaks_off(a), "pair": unended(a)})
-    shares = end_shares(once.filter("answer is not null"))
+    r = given.withColumns({"empty": is_empty(F.col("answer")), "refusal": is_refusal(a), "copies_question": is_copy(q, a), "said": said, "asked": asked, "off": breaks_off(a), "pair": unended(a)})
+    #: The texts are read where they lie; only what was found about them is shuffled, and repeated rows end here.
+    r = r.drop("question", "answer").distinct()
+    shares = end_shares(given.filter("answer is not null"))
     #: Rows that need no look-up get keys of their own, so that they don't all meet in one task.
     key = F.coalesce("pair", F.concat(F.lit("\x00"), F.pmod(F.xxhash64("row_id"), F.lit(4096))))
     r = r.withColumn("key", key).join(shares.withColumnRenamed("pair", "key"), "key", "left")
