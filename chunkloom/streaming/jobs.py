@@ -81,8 +81,8 @@ class Watch(StatefulProcessor):
         self.handle = handle
         self.started = handle.getValueState("started", "at long")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        now = timer_values.getCurrentProcessingTimeInMs()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentProcessingTimeInMs()
         if not self.started.exists():
             self.started.update((now,))
             self.handle.registerTimer(now + HEARTBEAT_S * 1000)
@@ -91,8 +91,8 @@ class Watch(StatefulProcessor):
                 self.started.clear()
             yield pd.DataFrame({"query_id": [key[0]] * len(b), "event": b["event"], "payload": b["payload"]})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
-        now = timer_values.getCurrentProcessingTimeInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentProcessingTimeInMs()
         if self.started.exists():
             late = now - self.started.get()[0] >= BUDGET_S * 1000
             if late:
