@@ -22,6 +22,8 @@ FLOOR = 0.94
 LIST_SIZE, MOST_LISTS, SAMPLED = 400, 16_384, 24
 #: A vector goes to lists whose centroid is at most (1 + RATIO) times as far as the nearest, and to no more than COPIES.
 RATIO, COPIES = 0.12, 3
+#: The same three for the nearest vectors at any similarity: these lie farther off, so lists are longer and overlap more.
+WIDE = 3_200, 0.2, 3
 #: Links of a centroid in the graph, and how many candidates a search keeps.
 LINKS, BEAM = 16, 12
 #: Vectors of a list that are held against the list at a time.
@@ -103,11 +105,11 @@ class Centroids:
         order = np.argsort(-sims, axis=1)[:, :k]
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
-    def lists(self, x: np.ndarray) -> list[np.ndarray]:
+    def lists(self, x: np.ndarray, ratio: float = RATIO, copies: int = COPIES) -> list[np.ndarray]:
         """The lists of each row of x: the nearest, and those within the ratio of its distance."""
-        ids, sims = self.nearest(x, min(COPIES, len(self.points)))
+        ids, sims = self.nearest(x, min(copies, len(self.points)))
         distance = np.sqrt(np.maximum(0, 2 - 2 * sims))
-        keep = (distance <= (1 + RATIO) * distance[:, :1] + 1e-6) & (sims > -2)
+        keep = (distance <= (1 + ratio) * distance[:, :1] + 1e-6) & (sims > -2)
         return [i[k] for i, k in zip(ids, keep, strict=True)]
 
 
@@ -118,6 +120,16 @@ def fit(sample: np.ndarray, lists: int) -> Centroids:
     return Centroids(np.stack(split(sample, max(2, len(sample) // max(1, lists)), rng)))
 
 
+def cutoffs(s: np.ndarray, k: int) -> np.ndarray:
+    """A similarity for each row of s that at least its k best columns reach, and few others: the k-th best of 64 groups' bests."""
+    n = s.shape[1]
+    if n < 64 * 2 or k > 32:
+        return np.full((len(s), 1), -np.inf, np.float32) if n <= k else -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+    width = n // 64
+    best = s[:, : 64 * width].reshape(len(s), 64, width).max(2)
+    return -np.partition(-best, k - 1, axis=1)[:, k - 1 : k]
+
+
 def within(ids: np.ndarray, x: np.ndarray, floor: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query, neighbour, similarity) of the k best other vectors of a list for each of its vectors, none below the floor."""
     n = len(x)
@@ -128,8 +140,8 @@ def within(ids: np.ndarray, x: np.ndarray, floor: float, k: int) -> Iterator[tup
             s = q @ x[b : b + 4 * BLOCK_ROWS].T
             own = np.arange(a, a + len(q)) - b
             inside = (own >= 0) & (own < s.shape[1])
-            s[np.flatnonzero(inside), own[inside]] = -2
-            r, c = np.nonzero(s >= floor)
+            s[np.flatnonzero(inside), own[inside]] = -9
+            r, c = np.nonzero(s >= (floor if floor > -1 else np.maximum(cutoffs(s, k), -2)))
             part_s, part_i = (s[r, c], np.stack([r, c + b], 1)) if len(r) else (np.empty(0, np.float32), np.empty((0, 2), int))
             if best_s is None:
                 best_s, best_i = part_s, part_i
@@ -157,9 +169,11 @@ def usable(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "embedding").filter(F.col("id").isNotNull() & e.isNotNull() & (F.size(e) == DIM) & F.exists(e, lambda v: v != 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e30)))
 
 
-def similar(chunks: DataFrame, k: int = NEAREST, floor: float = FLOOR) -> DataFrame:
+def similar(chunks: DataFrame, k: int = NEAREST, floor: float = -1.0) -> DataFrame:
     """(id, neighbour, similarity, rank): the k most similar other ids of every id, cosine at least floor; ties go to the smaller id.
 
+    A floor of -1 is none: every id gets its k neighbours, however far, and the lists are WIDE.
+
     Copies of a vector, a third of all rows if need be, are one class in the lists; no group of them is ever held in
     one task. Of a class only the k + 1 smallest ids can be neighbours of anything, and a window with a limit per key
     finds them, which the map side cuts already. Repeated rows of an id count once. The lists are an approximation
@@ -168,7 +182,8 @@ def similar(chunks: DataFrame, k: int = NEAREST, floor: float = FLOOR) -> DataFr
     spark = chunks.sparkSession
     rows = usable(chunks).withColumn("class", F.xxhash64("embedding"))
     n = rows.count()
-    lists = int(min(MOST_LISTS, max(1, n // LIST_SIZE)))
+    list_size, ratio, copies = (LIST_SIZE, RATIO, COPIES) if floor > -1 else WIDE
+    lists = int(min(MOST_LISTS, max(1, n // list_size)))
     want = lists * SAMPLED
     picked = rows if n <= want else rows.filter(F.pmod(F.xxhash64("class", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * want / n) + 1)
     sample = picked.select("embedding").limit(2 * want + 16).toArrow().column(0).combine_chunks()
@@ -184,7 +199,7 @@ def similar(chunks: DataFrame, k: int = NEAREST, floor: float = FLOOR) -> DataFr
                 if not part.num_rows:
                     continue
                 x = unit(part.column(1))
-                found = c.lists(x)
+                found = c.lists(x, ratio, copies)
                 rows = np.repeat(np.arange(len(x)), [len(f) for f in found])
                 packed = x[rows].tobytes()
                 size = DIM * 4
@@ -220,18 +235,20 @@ def similar(chunks: DataFrame, k: int = NEAREST, floor: float = FLOOR) -> DataFr
         yield from out()
 
     met = placed.repartition("list").sortWithinPartitions("list").mapInArrow(meet, "class bigint, other bigint, similarity double")
-    links = met.groupBy("class", "other").agg(F.max("similarity").alias("similarity"))
+    links = met.repartition("class").groupBy("class", "other").agg(F.max("similarity").alias("similarity"))
+    # as many other classes as could be needed: each holds an id, which is the own one where an id has two vectors
+    links = links.withColumn("n", F.rank().over(Window.partitionBy("class").orderBy(F.desc("similarity")))).filter(F.col("n") <= k + 1).drop("n")
 
     members = rows.select("class", "id").distinct()
     small = Window.partitionBy("class").orderBy("id")
     heads = members.withColumn("n", F.row_number().over(small)).filter(F.col("n") <= k + 1).select("class", F.col("id").alias("neighbour"))
     own = heads.join(heads.groupBy("class").count().filter("count > 1").select("class"), "class")
     known = own.withColumn("similarity", F.lit(1.0)).unionByName(links.join(heads.withColumnRenamed("class", "other"), "other").select("class", "neighbour", "similarity"))
-    pairs = members.join(known, "class").filter("id <> neighbour").groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
+    pairs = members.join(known, "class").filter("id <> neighbour").repartition("id").groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def similar_pairs(chunks: DataFrame) -> DataFrame:
-    """(id_a, id_b): pairs of ids of which one is among the most similar of the other; id_a < id_b."""
-    return similar(chunks).select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+    """(id_a, id_b): pairs of ids of which one is among the most similar of the other, with at least FLOOR; id_a < id_b."""
+    return similar(chunks, floor=FLOOR).select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()

@@ -94,6 +94,32 @@ def test_similar_pairs_against_brute_force(spark):
     assert neighbours.similar_pairs(chunks(spark, odd[:3])).count() == 0
 
 
+def test_every_vector_has_its_neighbours_at_any_similarity(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, neighbours.DIM))
+    x = centres[rng.integers(0, 60, 9000)] * 0.6 + rng.normal(size=(9000, neighbours.DIM))
+    rows = [chunk(f"{i:05}", "x", embedding=[float(v) for v in e]) for i, e in enumerate(x)]
+    got = {}
+    for r in neighbours.similar(chunks(spark, rows)).collect():
+        got.setdefault(int(r.id), {})[int(r.neighbour)] = r.similarity
+    assert len(got) == len(x) and all(len(v) == 5 for v in got.values())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, len(x), 10):
+        s = u @ u[i]
+        s[i] = -2
+        assert all(abs(s[j] - v) < 1e-5 for j, v in got[i].items())
+        hits += len(set(np.argsort(-s)[:5]) & got[i].keys())
+    assert hits >= 0.9 * 5 * len(range(0, len(x), 10))
+
+
+def test_few_and_opposite_vectors_are_neighbours(spark):
+    e = [1.0] * 64
+    rows = [chunk("a", "x", embedding=e), chunk("b", "x", embedding=[-2 * v for v in e])]
+    assert [(r.id, r.neighbour, round(r.similarity, 5)) for r in neighbours.similar(chunks(spark, rows)).orderBy("id").collect()] == [("a", "b", -1.0), ("b", "a", -1.0)]
+    assert neighbours.similar_pairs(chunks(spark, rows)).count() == 0
+
+
 def test_copies_stay_linear(spark):
     rng = np.random.default_rng(2)
     e = [float(v) for v in rng.normal(size=64)]
