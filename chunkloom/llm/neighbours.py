@@ -24,6 +24,8 @@ LIST_SIZE, MOST_LISTS, SAMPLED = 400, 16_384, 24
 RATIO, COPIES = 0.12, 3
 #: The same three for the nearest vectors at any similarity: these lie farther off, so lists are longer and overlap more.
 WIDE = 3_200, 0.2, 3
+#: Without a floor a vector goes to so many lists at least: the nearest may be a small one whose centroid is the vector itself.
+LEAST = 2
 #: Links of a centroid in the graph, and how many candidates a search keeps.
 LINKS, BEAM = 16, 12
 #: Vectors of a list that are held against the list at a time.
@@ -43,8 +45,8 @@ def split(x: np.ndarray, leaf: int, rng: np.random.Generator) -> list[np.ndarray
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     near = (x @ c.T).argmax(1)
     sizes = np.bincount(near, minlength=k)
-    if sizes.max() == len(x):  # vectors too alike to be told apart: cut by number
-        near = np.arange(len(x)) % k
+    if sizes.max() == len(x):  # vectors too alike to be told apart share one list: equal centroids would part their neighbours
+        return [x.mean(0)]
     return [y for j in range(k) if (near == j).any() for y in split(x[near == j], leaf, rng)]
 
 
@@ -105,11 +107,12 @@ class Centroids:
         order = np.argsort(-sims, axis=1)[:, :k]
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
-    def lists(self, x: np.ndarray, ratio: float = RATIO, copies: int = COPIES) -> list[np.ndarray]:
-        """The lists of each row of x: the nearest, and those within the ratio of its distance."""
+    def lists(self, x: np.ndarray, ratio: float = RATIO, copies: int = COPIES, least: int = 1) -> list[np.ndarray]:
+        """The lists of each row of x: the nearest, and those within the ratio of its distance; never fewer than least if there are as many."""
         ids, sims = self.nearest(x, min(copies, len(self.points)))
         distance = np.sqrt(np.maximum(0, 2 - 2 * sims))
         keep = (distance <= (1 + ratio) * distance[:, :1] + 1e-6) & (sims > -2)
+        keep[:, :least] |= sims[:, :least] > -2
         return [i[k] for i, k in zip(ids, keep, strict=True)]
 
 
@@ -117,7 +120,9 @@ def fit(sample: np.ndarray, lists: int) -> Centroids:
     if not len(sample):
         return Centroids(np.eye(1, DIM, dtype=np.float32))
     rng = np.random.default_rng(SEED)
-    return Centroids(np.stack(split(sample, max(2, len(sample) // max(1, lists)), rng)))
+    points = np.stack(split(sample, max(2, len(sample) // max(1, lists)), rng))
+    unequal = np.unique((points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)).round(5), axis=0, return_index=True)[1]
+    return Centroids(points[np.sort(unequal)])
 
 
 def cutoffs(s: np.ndarray, k: int) -> np.ndarray:
@@ -181,16 +186,15 @@ def similar(chunks: DataFrame, k: int = NEAREST, floor: float = -1.0) -> DataFra
     """
     spark = chunks.sparkSession
     rows = usable(chunks).withColumn("class", F.xxhash64("embedding"))
-    n = rows.count()
+    classes = rows.groupBy("class").agg(F.first("embedding").alias("embedding"))
+    n = classes.count()
     list_size, ratio, copies = (LIST_SIZE, RATIO, COPIES) if floor > -1 else WIDE
     lists = int(min(MOST_LISTS, max(1, n // list_size)))
     want = lists * SAMPLED
-    picked = rows if n <= want else rows.filter(F.pmod(F.xxhash64("class", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * want / n) + 1)
+    picked = classes if n <= want else classes.filter(F.pmod(F.xxhash64("class", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * want / n) + 1)
     sample = picked.select("embedding").limit(2 * want + 16).toArrow().column(0).combine_chunks()
     centroids = spark.sparkContext.broadcast(fit(unit(sample) if len(sample) else np.empty((0, DIM), np.float32), lists))  # at most MOST_LISTS
 
-    classes = rows.groupBy("class").agg(F.first("embedding").alias("embedding"))
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centroids.value
         for b in batches:
@@ -199,7 +203,7 @@ def similar(chunks: DataFrame, k: int = NEAREST, floor: float = -1.0) -> DataFra
                 if not part.num_rows:
                     continue
                 x = unit(part.column(1))
-                found = c.lists(x, ratio, copies)
+                found = c.lists(x, ratio, copies, 1 if floor > -1 else LEAST)
                 rows = np.repeat(np.arange(len(x)), [len(f) for f in found])
                 packed = x[rows].tobytes()
                 size = DIM * 4

@@ -120,6 +120,28 @@ def test_few_and_opposite_vectors_are_neighbours(spark):
     assert neighbours.similar_pairs(chunks(spark, rows)).count() == 0
 
 
+def test_a_hot_vector_keeps_its_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_SIZE", 20)
+    rng = np.random.default_rng(7)
+    hot = rng.normal(size=(4, neighbours.DIM))
+    x = np.concatenate([np.repeat(hot, 500, 0), np.repeat(hot, 15, 0) + rng.normal(size=(60, neighbours.DIM)) * 0.15, rng.normal(size=(3000, neighbours.DIM))])
+    rows = [chunk(f"{i:05}", "x", embedding=[float(v) for v in e]) for i, e in enumerate(x)]
+    got = {}
+    for r in neighbours.similar(chunks(spark, rows), floor=0.94).filter("id between '02000' and '02059'").collect():
+        got.setdefault(int(r.id), set()).add(int(r.neighbour))
+    # every vector near a hot one has five copies of it or vectors like it, and the copies are the nearest
+    want = {2000 + i: {500 * (i // 15) + j for j in range(5)} for i in range(60)}
+    assert sum(len(want[i] & got.get(i, set())) for i in want) >= 0.95 * 300
+
+
+def test_equal_vectors_make_one_list():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, neighbours.DIM)), 500, 0), rng.normal(size=(500, neighbours.DIM))]).astype(np.float32)
+    points = neighbours.fit(x / np.linalg.norm(x, axis=1, keepdims=True), 40).points
+    s = points @ points.T
+    assert len(points) > 15 and (s[np.triu_indices(len(points), 1)] < 0.9999).all()
+
+
 def test_copies_stay_linear(spark):
     rng = np.random.default_rng(2)
     e = [float(v) for v in rng.normal(size=64)]
