@@ -2,8 +2,9 @@
 
 All tokens of the mix are cut into blocks of equal size. Sainte-Laguë apportionment gives each block to the source
 with the highest quotient share / (2 n + 1), where n is what it has, unless its documents, repeated as often as
-allowed, are used up. The same method spreads the blocks of a source over shards of its documents. In a shard the
-documents are taken in the order of a seeded hash until the blocks are filled.
+allowed, are used up. The tokens of a source are spread over shards of its documents: every shard as often as the
+whole source fits, then shard after shard once more. In the last of these the documents are taken in the order of a
+seeded hash until the rest is filled, so however many shards there are, a source misses less than one document.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def apportion(weights: dict, caps: dict, blocks: int) -> dict:
 
 
 class Plan:
-    """Quotas of a mix: block (tokens per block), report (one row per target), shards (blocks of a source and shard)."""
+    """Quotas of a mix: block (tokens per block), report (one row per target), quotas (tokens of a source and shard)."""
 
     def __init__(self, block: float, shards: int, report: list[Row], quotas: list[Row]):
         self.block, self.shards, self.report, self.quotas = block, shards, report, quotas
@@ -87,6 +88,20 @@ def shard_of(doc_id: Column, shards: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(shards)).cast("int")
 
 
+def spread_quota(tokens: int, own: dict) -> dict:
+    """Tokens of a source over its shards, which have own[shard] tokens: whole rounds of all, then once more in the order of the shards.
+
+    They add up to tokens, and no shard is repeated more often than the source as a whole, rounded up.
+    """
+    rounds, rest = divmod(tokens, sum(own.values()) or 1)
+    quota = {}
+    for k in sorted(own):
+        more = min(own[k], rest)
+        quota[k] = rounds * own[k] + more
+        rest -= more
+    return quota
+
+
 def plan(counts: DataFrame, targets: DataFrame, blocks: int = BLOCKS, seed: int = 0) -> Plan:
     """Apportion a mix as large as all documents that have a source.
 
@@ -111,8 +126,8 @@ def plan(counts: DataFrame, targets: DataFrame, blocks: int = BLOCKS, seed: int
     quotas = []
     for s in goal:
         own = {r.shard: r.tokens for r in sizes if r.source == s}
-        part = apportion(own, {k: fits(s, n) for k, n in own.items()}, given[s])
-        quotas += [Row(source=s, shard=k, quota=float(part[k] * block), shard_tokens=own[k]) for k in own]
+        part = spread_quota(min(round(given[s] * block), goal[s][1] * have[s]), own)
+        quotas += [Row(source=s, shard=k, quota=float(part[k]), shard_tokens=own[k]) for k in own]
     return Plan(block, shards, report, quotas)
 
 

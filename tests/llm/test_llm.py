@@ -374,6 +374,22 @@ def test_mix(spark):
     assert mixing.mixed(df.limit(0), goal).count() == 0
 
 
+def test_small_source_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "DOCS_PER_SHARD", 50)
+    docs = [(i, "small" if i % 100 == 0 else "large", 20 + i % 7) for i in range(10_000)]
+    counts = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint")
+    goal = spark.createDataFrame([("small", 0.1, 4), ("large", 0.9, 2)], "source string, target_share double, max_repeats int")
+    p = mixing.plan(counts, goal, blocks=1_000)
+    report = {r.source: r for r in p.report}
+    assert p.shards == 200 and report["small"].quota_blocks > 30
+    for s in report:
+        assert abs(sum(q.quota for q in p.quotas if q.source == s) - report[s].quota_tokens) <= 1
+        assert all(q.quota <= report[s].max_repeats * q.shard_tokens for q in p.quotas if q.source == s)
+    used = {r.source: r for r in mixing.select(counts, p).groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("n"), F.max("repeats").alias("most")).collect()}
+    for s in report:
+        assert 0 <= report[s].quota_tokens - used[s].n < 27 and used[s].most <= report[s].max_repeats
+
+
 # subjects
 
 
