@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 FILE_LINE = r"(?U)`?([\w./\-]+\.py):(\d+)`?"
 SYMBOL = r"(?U)`([A-Za-z_][\w]*(?:\.[A-Za-z_][\w]*)+)`"
 EVIDENCE_ID = r"\[(C\d+)\]"
+#: Ids and places in one scan; they can't overlap, so it finds what the two find, by position in the text.
+ID_OR_FILE_LINE = r"(?U)\[(C\d+)\]|`?([\w./\-]+\.py):(\d+)`?"
 MARKER, MARKER_ZH = "[unverified reference removed]", "[已移除未验证引用]"
 UNCITED = "> ⚠️ This answer cites no indexed code, so nothing in it was checked against the index. Treat it as unverified rather than as verified."
 UNCITED_ZH = "> ⚠️ 此回答没有引用已索引代码，因此其中没有内容经过索引核验；请将其视为未验证回答。"
@@ -40,6 +42,19 @@ def evidence_ids(answer: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(EVIDENCE_ID), 1)
 
 
+def extract_by_position(answer: Column) -> Column:
+    """Evidence ids and places of an answer by position in the text, as structs of CITATION; names in backticks are code, not citations."""
+    a = F.coalesce(answer, F.lit(""))
+    part = lambda n: F.regexp_extract_all(a, F.lit(ID_OR_FILE_LINE), n)
+
+    def one(m: Column) -> Column:
+        isid = m["i"] != ""
+        line = F.when(~isid, F.try_to_number(m["n"], F.lit("999999999")).cast("int"))
+        return F.struct(F.when(isid, "id").otherwise("file").alias("kind"), F.when(isid, m["i"]).otherwise(F.concat_ws(":", m["p"], m["n"])).alias("token"), F.when(isid, m["i"]).otherwise(m["p"]).alias("symbol"), m["p"].alias("file_path"), line.alias("line"))
+
+    return F.transform(F.arrays_zip(part(1).alias("i"), part(2).alias("p"), part(3).alias("n")), one)
+
+
 def redact(answer: Column, unverified: Column, chinese: Column) -> Column:
     """The answer with each unverified citation (structs of CITATION) replaced by the marker.
 

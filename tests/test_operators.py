@@ -149,6 +149,22 @@ def test_groundedness(spark):
     assert got["2"].score == 0.0 and "cites no indexed code" in got["2"].answer
 
 
+def test_groundedness_by_evidence_ids(spark):
+    c = spark.createDataFrame([chunk("c", 1, 20, "src/a.py")], schemas.CHUNKS)
+    s = spark.createDataFrame([("s", "r", "pkg.mod.Name", "class", "src/a.py", 3, "c")], schemas.SYMBOLS)
+    a = spark.createDataFrame([("1", "r", "x [C1][C2] src/a.py:99 [C9] `self.x` [C3] [C1]"), ("2", "r", "only `mod.Name`"), ("3", "r", "[C1]"), ("4", "r", None)], "answer_id string, repo_id string, answer string")
+    e = spark.createDataFrame([("1", "C1", "src/a.py:5"), ("1", "C2", "pkg.mod.Name"), ("1", "C3", "src/a.py:77"), ("3", "C1", "src/a.py:5"), ("2", "C1", "src/a.py:5")], "answer_id string, evidence_id string, token string")
+    v = grounding.verify(a, c, s, e).orderBy("answer_id", "position").collect()
+    assert [(r.answer_id, r.kind, r.token, r.verified, r.chunk_id) for r in v] == [
+        ("1", "id", "C1", True, "c"), ("1", "id", "C2", True, "c"), ("1", "file", "src/a.py:99", False, None), ("1", "id", "C9", False, None), ("1", "id", "C3", False, None), ("1", "id", "C1", True, "c"), ("3", "id", "C1", True, "c"),
+    ]
+    got = {r.answer_id: r for r in grounding.enforce(a, c, s, evidence=e).collect()}
+    gone = "[unverified reference removed]"
+    assert got["1"].answer.startswith(f"x `src/a.py:5` `pkg.mod.Name` {gone} {gone} `self.x` {gone} `src/a.py:5`\n") and got["1"].removed == 3 and got["1"].score == 0.5
+    assert "cites no indexed code" in got["2"].answer and got["3"].answer == "`src/a.py:5`" and got["3"].score == 1.0
+    assert {r.answer_id: (r.citations, r.verified) for r in grounding.scores(a, c, s, e).collect()} == {"1": (6, 3), "2": (0, 0), "3": (1, 1), "4": (0, 0)}
+
+
 def test_history(spark):
     t = spark.createDataFrame([("c", i, "user" if i % 2 == 0 else "assistant", x) for i, x in enumerate(["old", "", "a" * 30, "uses `Thing.run`", "Foo"])] + [("c", 9, "user", None)], "conv_id string, turn int, role string, content string")
     got = history.bounded(t, 5, 20).orderBy("turn").collect()
