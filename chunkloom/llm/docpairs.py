@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tokens in the order in which they are tried: triple-quoted and plain strings with their prefix, unterminated
-#: triple quotes, comments, joined lines, line ends, brackets, colons, semicolons, and runs of anything else.
+#: triple quotes, comments, joined lines, line ends, brackets, colons, semicolons, and runs of anything else. The repeated
+#: groups are possessive: the regular expressions of the JVM match others by recursion, which long lines would overflow.
 PREFIX = r"(?:[rRbBuUfFtT]{1,2}(?=[\"']))?"
 TOKEN = "|".join(
     [
@@ -25,7 +26,7 @@ TOKEN = "|".join(
         r"[)\]}]",
         r":",
         r";",
-        r"(?:(?![rRbBuUfFtT]{1,2}[\"'])[^\s\"'#()\[\]{}:;\\][^\"'#()\[\]{}:;\\\nrRbBuUfFtT]*)+",
+        r"(?:(?![rRbBuUfFtT]{1,2}[\"'])[^\s\"'#()\[\]{}:;\\][^\"'#()\[\]{}:;\\\nrRbBuUfFtT]*+)++",
     ]
 )
 #: A string token that is whole and neither formatted nor bytes.
@@ -34,7 +35,7 @@ PLAIN = r"(?s)^[rRuU]{0,1}(?:(\"\"\"|''').*\1|(?!\"\"\"|''')([\"']).*\2)$"
 #: Text that stands in place of a description.
 DIRECTIVE = r"(?im)^[ \t]*(?:type:[ \t]*ignore|noqa|pragma:|pylint:|fmt:|mypy:|isort:|flake8:|ruff:|yapf:|pyright:|nosec|noinspection|coverage:|cython:|-\*-|vim?:|lint:|codespell:|black:).*$"
 NOTE = r"(?im)\b(?:todo|fixme|xxx|hack|tbd|wip)\b.*$"
-TEMPLATE = r"(?i)(?<![\w])_[a-z]+(?:_[a-z]+)*_(?![\w])|<[a-z][a-z _-]*>|\[(?:description|summary|type|optional)\]|\bno (?:documentation|docstring|description)(?: yet| available)?\b|\b(?:undocumented|lorem ipsum|docstring|placeholder)\b|\bn/a\b"
+TEMPLATE = r"(?i)(?<![\w])_[a-z]++(?:_[a-z]++)*+_(?![\w])|<[a-z][a-z _-]*>|\[(?:description|summary|type|optional)\]|\bno (?:documentation|docstring|description)(?: yet| available)?\b|\b(?:undocumented|lorem ipsum|docstring|placeholder)\b|\bn/a\b"
 TAG = r"(?im)^[ \t]*(?::|@|\\)(?:param|parameter|arg|argument|key|keyword|type|return|returns|rtype|yield|yields|raise|raises|exception|throws|var|ivar)\b(?:[ \t]+[\w.\[\], ]+?)?(?::|$)"
 HEADING = r"(?im)^[ \t]*(?:args|arguments|parameters?|params|keyword args|returns?|yields?|raises|attributes|examples?|notes?|other parameters)[ \t]*:?[ \t]*$"
 TYPED = r"(?m)^[ \t]*\*{0,2}\w+[ \t]*(?:\([^)\n]*\))?[ \t]*:(?=\s|$)"

@@ -41,6 +41,7 @@ class Script:
             self.at = (self.source + "\n").index("\n")
         self.functions: list[str] = []
         self.loops = 0
+        self.arrows: dict[int, tuple | None] = {}
         self.next()
 
     def next(self) -> None:
@@ -395,8 +396,15 @@ class Script:
         return target
 
     def arrow(self) -> bool:
-        """Whether the bracket that is due encloses the parameters of an arrow function."""
+        """Whether the bracket that is due encloses the parameters of an arrow function; looked at once for each bracket.
+
+        Where it does, what follows the parameters is remembered, so that they are not read again.
+        """
         kept = self.at, self.kind, self.text, self.newline, self.start
+        if kept[4] in self.arrows:
+            return self.arrows[kept[4]] is not None
+        open_functions = len(self.functions)
+        after = None
         try:
             self.next()
             while not self.have(")"):
@@ -404,11 +412,14 @@ class Script:
                 self.element(rest)
                 if not self.at_op(")"):
                     self.take(",")
-            return self.at_op("=>") and not self.newline
+            if self.at_op("=>") and not self.newline:
+                after = self.at, self.kind, self.text, self.newline, self.start
         except Reject:
-            return False
+            del self.functions[open_functions:]
         finally:
             self.at, self.kind, self.text, self.newline, self.start = kept
+        self.arrows[self.start] = after
+        return after is not None
 
     def arrow_body(self, marks: str, ins: bool) -> None:
         self.take("=>")
@@ -472,12 +483,7 @@ class Script:
     depth = 0
 
     def parameters_of_arrow(self) -> None:
-        self.next()
-        while not self.have(")"):
-            rest = self.have("...")
-            self.element(rest)
-            if not self.at_op(")"):
-                self.take(",")
+        self.at, self.kind, self.text, self.newline, self.start = self.arrows[self.start]
 
     def conditional(self, ins: bool) -> bool:
         target = self.binary(0, ins)

@@ -21,11 +21,12 @@ from chunkloom.session import spread
 
 LANGUAGES = {"py": "python", "json": "json", "toml": "toml", "xml": "xml", "js": "javascript"}
 ACCEPT = {"py": pylex.statements, "json": datalex.json, "toml": datalex.toml, "xml": datalex.xml, "js": jslex.javascript}
-DEEP = 20_000
+#: Calls that a character of source can open at most; the frames lie on the heap, so depth is bounded by memory alone.
+CALLS = 16
 
 
 def parses(source: str) -> bool:
-    """The exact check for Python; files that nest too deeply for any parser count as broken."""
+    """The exact check for Python; files that nest too deeply for its own parser count as broken."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
@@ -42,15 +43,13 @@ def defect(extension: str, source: str) -> str | None:
     grammar. An empty file parses in Python, TOML and JavaScript, not in JSON and XML.
     """
     limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(DEEP)
+    sys.setrecursionlimit(20_000 + CALLS * len(source))
     try:
         ACCEPT[extension](source)
     except pylex.Reject as e:
         if extension == "py" and parses(source):
             return None
         return "merge_conflict" if pylex.MARKER.search(source) else str(e)
-    except RecursionError:
-        return None if extension == "py" and parses(source) else "grammar"
     finally:
         sys.setrecursionlimit(limit)
     return None

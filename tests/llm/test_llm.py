@@ -59,6 +59,14 @@ def test_documentation(spark, content, found):
     assert [r.chunk_id for r in got] == ["1"] * found
 
 
+def test_documentation_beside_long_lines(spark):
+    """Runs of letters that may begin a string, chains of names and placeholders, each longer than any stack of calls."""
+    lines = ["x = " + "t + " * 250_000 + "t", "x = " + "rbuft" * 20_000, "x = 'a" + "\\\\" * 100_000 + "'", "x = " + "a.b" * 100_000]
+    rows = [chunk(str(i), f'def f():\n    """{LONG}."""\n    {x}') for i, x in enumerate(lines)]
+    rows += [chunk("n", f'def f():\n    """{LONG} {"_a" * 100_000}_."""'), chunk("t", 'def f():\n    """' + "_a" * 100_000 + '_"""')]
+    assert {r.chunk_id for r in docpairs.doc_pairs(chunks(spark, rows)).select("chunk_id").collect()} == {"0", "1", "2", "3", "n"}
+
+
 def test_documentation_of_no_rows(spark):
     assert docpairs.doc_pairs(chunks(spark, [])).count() == 0
 
@@ -253,6 +261,13 @@ def test_broken_files_and_rates(spark):
     assert sourcecheck.broken_files(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("opening", "closing"), [("(", ")"), ("[", "]"), ("{a:", "}"), ("(a=", "1)=>"), ("`${", "}`"), ("-(", ")"), ("!", "")])
+def test_deep_javascript(opening, closing):
+    n = 30_000
+    assert sourcecheck.defect("js", "x=" + opening * n + "1" + closing * n + "1" * (opening == "(a=")) is None
+    assert sourcecheck.defect("js", "x=" + opening * n + "1" + closing * (n - 1) + ";") is not None or opening == "!"
+
+
 def test_deep_and_long_sources():
     assert sourcecheck.defect("json", "[" * 50_000 + "]" * 50_000) is None
     assert sourcecheck.defect("py", "x = '" + "a" * 2_000_000 + "'") is None
