@@ -31,11 +31,11 @@ MOST_SOURCES = 10_000
 
 
 @cache
-def encoder(vocabulary: str):
+def encoder(vocabulary: bytes):
+    """The tokenizer of the text of a vocabulary file."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("counter", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -46,11 +46,16 @@ def canonical(source: Column) -> Column:
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens) of every document that has a source, named canonically. Null and empty texts have 0 tokens."""
+    """(doc_id, source, tokens) of every document that has a source, named canonically. Null and empty texts have 0 tokens.
+
+    The vocabulary, a file of fixed size, is read on the driver and sent with the job.
+    """
+    with open(vocabulary, "rb") as f:
+        shipped = documents.sparkSession.sparkContext.broadcast(f.read())
     rows = documents.select("doc_id", canonical(F.col("source")).alias("source"), "text").filter("source is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(shipped.value)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
@@ -102,26 +107,36 @@ def spread_quota(tokens: int, own: dict) -> dict:
     return quota
 
 
-def plan(counts: DataFrame, targets: DataFrame, blocks: int = BLOCKS, seed: int = 0) -> Plan:
-    """Apportion a mix as large as all documents that have a source.
+def plan(counts: DataFrame, targets: DataFrame, blocks: int = BLOCKS, seed: int = 0, docs: int | None = None) -> Plan:
+    """Apportion a mix as large as all documents that have a source, of which there are docs.
+
+    Where docs is given, counts is read once only.
 
     What comes to the driver is one row per target and one per source and shard, both bounded: by MOST_SOURCES and by
     MOST_SHARDS times the targets. Sources without a target add to the size of the mix and get nothing.
+
+    A source is short if the apportionment leaves it no block that it could still give, and its tokens, which the
+    blocks round, are fewer than its share.
     """
     goal = {r.source: (float(r.target_share), int(r.max_repeats)) for r in targets.select("source", "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect()}
     if len(goal) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    totals = counts.agg(F.count("*").alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
-    shards = min(MOST_SHARDS, max(1, -(-totals.docs // DOCS_PER_SHARD)))
-    block = max(1.0, totals.tokens / blocks)
-    sizes = counts.filter(F.col("source").isin(*goal)).groupBy("source", shard_of(F.col("doc_id"), shards, seed).alias("shard")).agg(F.sum("tokens").alias("tokens")).collect()
+    docs = counts.count() if docs is None else docs
+    shards = min(MOST_SHARDS, max(1, -(-docs // DOCS_PER_SHARD)))
+    named = F.when(F.col("source").isin(*goal), F.col("source"))
+    sizes = counts.groupBy(named.alias("source"), shard_of(F.col("doc_id"), shards, seed).alias("shard")).agg(F.sum("tokens").alias("tokens")).collect()
+    total = sum(r.tokens for r in sizes)
+    block = max(1.0, total / blocks)
+    sizes = [r for r in sizes if r.source is not None]
     have = dict.fromkeys(goal, 0)
     for r in sizes:
         have[r.source] += r.tokens
     fits = lambda s, tokens: int(goal[s][1] * tokens / block)
-    given = apportion({s: share for s, (share, _) in goal.items()}, {s: fits(s, have[s]) for s in goal}, round(totals.tokens / block))
+    caps = {s: fits(s, have[s]) for s in goal}
+    given = apportion({s: share for s, (share, _) in goal.items()}, caps, round(total / block))
+    used_up = {s for s in goal if given[s] + 1 >= caps[s]}
     report = [
-        Row(source=s, target_share=share, max_repeats=most, tokens=have[s], quota_blocks=given[s], quota_tokens=round(given[s] * block), short=most * have[s] < share * totals.tokens) for s, (share, most) in sorted(goal.items())
+        Row(source=s, target_share=share, max_repeats=most, tokens=have[s], quota_blocks=given[s], quota_tokens=round(given[s] * block), short=s in used_up and most * have[s] < share * total) for s, (share, most) in sorted(goal.items())
     ]
     quotas = []
     for s in goal:
@@ -156,6 +171,16 @@ def select(counts: DataFrame, p: Plan, seed: int = 0) -> DataFrame:
     return rows.select("doc_id", "source", "tokens", repeats.alias("repeats")).filter("repeats > 0")
 
 
+def sourced(documents: DataFrame) -> int:
+    """How many documents have a source; reads that column only."""
+    return documents.filter(canonical(F.col("source")).isNotNull()).count()
+
+
+def shortages(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """The report of the apportionment without the mix; tokens are counted once and kept nowhere."""
+    return report_frame(documents.sparkSession, plan(token_counts(documents), targets, docs=sourced(documents)))
+
+
 def mixed(documents: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself; tokens are counted once and kept in the shared folder."""
     counts = cut(token_counts(documents))

@@ -9,7 +9,7 @@ from chunkloom.llm.answers import defects
 from chunkloom.llm.docpairs import doc_pairs
 from chunkloom.llm.handwritten import not_handwritten
 from chunkloom.llm.leakage import leaks
-from chunkloom.llm.mixing import mixed, plan, report_frame, shares, token_counts
+from chunkloom.llm.mixing import mixed, shares, shortages
 from chunkloom.llm.neighbours import similar, similar_pairs
 from chunkloom.llm.secrets import redacted, secret_lines
 from chunkloom.llm.sourcecheck import broken_files, broken_rates
@@ -70,8 +70,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    p = plan(token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"))
-    return report_frame(spark, p).filter("short").select("source")
+    return shortages(table(spark, d, "documents"), table(spark, d, "mix_targets")).filter("short").select("source")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -384,6 +384,7 @@ def test_mix(spark):
     assert not report["read_me"].short and not report["issues"].short and report["docs"].short
     assert all(x.most_repeats <= x.max_repeats for x in report.values())
     assert abs(report["read_me"].mixed_tokens - report["read_me"].quota_tokens) < 60 and abs(report["read_me"].quota_tokens / report["issues"].quota_tokens - 1.25) < 0.02
+    assert {x.source: x.short for x in mixing.shortages(df, goal).collect()} == {k: x.short for k, x in report.items()}
     mix = mixing.mixed(df, goal)
     assert sorted(map(tuple, mix.collect())) == sorted(map(tuple, mixing.mixed(df, goal).collect())) and mix.filter("doc_id >= 990").count() == 0
     assert mixing.mixed(df.limit(0), goal).count() == 0
