@@ -315,15 +315,19 @@ def test_not_handwritten(spark):
     r = random.Random(1)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
     code = lambda: f"def {word()}({word()}):\n" + "".join(f"    {word()} = {word()}({word()}, {r.randrange(99)})\n" for _ in range(r.randrange(5, 15))) + f"    return {word()}\n"
+    stub = lambda: "class A(_b.Message):\n" + "".join(f"    _f{i:03} = _b.field({i}, '{word()}', INT{r.choice((32, 64))})\n" for i in range(r.randrange(6, 20)))
     rows = [chunk(f"p{i}", code(), path=f"src/m{i}.py") for i in range(150)]
-    rows += [chunk(f"g{i}", '"""Generated by toolgen 1.2. DO NOT EDIT!"""', "module_doc", path=f"src/g{i}.py") for i in range(10)] + [chunk(f"gc{i}", code(), path=f"src/g{i}.py", start=9) for i in range(10)]
+    rows += [chunk(f"g{i}", '"""Generated by toolgen 1.2. DO NOT EDIT!"""', "module_doc", path=f"src/g{i}.py") for i in range(30)] + [chunk(f"gc{i}", stub(), path=f"src/g{i}.py", start=9) for i in range(30)]
+    rows += [chunk(f"s{i}", stub(), path=f"src/unmarked{i}.py") for i in range(3)]  # no notice: only the forest can tell
+    rows += [chunk(f"w{i}", stub(), "method", path=f"src/methods{i}.py") for i in range(3)]  # no class chunk holds these methods
     shared = code() * 2
-    rows += [chunk(f"v{i}", shared, path=f"{'vendor' if i < 6 else 'src'}/lib/v{i}.py", repo=f"r{i}") for i in range(8)]
-    table = "def t():\n    _t = [\n" + "".join("        " + ", ".join(str(r.randrange(99999)) for _ in range(14)) + ",\n" for _ in range(20)) + "    ]\n"
-    rows += [chunk("d0", table, path="src/data.py"), chunk("n", None, path="src/null.py"), chunk("e", "", path="src/empty.py")]
+    rows += [chunk(f"v{i}", shared, path=f"{'vendor' if i < 18 else 'src'}/lib/v{i}.py", repo=f"r{i}") for i in range(20)]
+    table = lambda: "def t():\n    _t = [\n" + "".join("        " + ", ".join(str(r.randrange(99999)) for _ in range(14)) + ",\n" for _ in range(20)) + "    ]\n"
+    rows += [chunk(f"d{i}", table(), path=f"src/data{i}.py") for i in range(4)] + [ chunk("n", None, path="src/null.py"), chunk("e", "", path="src/empty.py")]
     rows += [chunk("h0", '"""Front end that writes stubs with a \'generated file\' banner; do not edit the order without asking."""', "module_doc", path="src/h.py"), chunk("h1", code(), path="src/h.py", start=9)]
     got = {f.file_path for f in handwritten.not_handwritten(chunks(spark, rows)).collect()}
-    assert {f"src/g{i}.py" for i in range(10)} | {f"vendor/lib/v{i}.py" for i in range(6)} | {"src/data.py", "src/lib/v6.py", "src/lib/v7.py"} <= got
+    assert {f"src/g{i}.py" for i in range(30)} | {f"src/data{i}.py" for i in range(4)} | {f"vendor/lib/v{i}.py" for i in range(18)} | {"src/lib/v18.py", "src/lib/v19.py"} <= got
+    assert {f"src/{k}{i}.py" for k in ("unmarked", "methods") for i in range(3)} <= got
     assert not {"src/h.py", "src/empty.py", "src/null.py"} & got and sum(p.startswith("src/m") for p in got) <= 4
 
 
