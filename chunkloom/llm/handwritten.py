@@ -205,11 +205,11 @@ def label() -> Column:
 
 
 def scored(chunks: DataFrame) -> DataFrame:
-    """(repo_id, file_path, score, least) of every file with at least one chunk that has content; least is the score that tells.
+    """(repo_id, file_path, score, least) of every file with any text beside a notice; least is the score that tells.
 
     Null keys and contents are left out. Where no file is labelled none comes out. The number of training rows is bounded by MOST_TRAINING.
     """
-    files, names = ratios(cut(file_sums(chunks)))
+    files, names = ratios(cut(file_sums(chunks).filter("chars > spaces")))
     n, base = files.agg(F.count("*"), F.avg(label())).first()
     if not base or base == 1:  # nothing to tell apart
         return files.select("repo_id", "file_path", F.lit(base or 0.0).alias("score"), F.lit(0.5).alias("least"))
