@@ -23,15 +23,8 @@ from chunkloom.llm.crf import Chain, hashed, train
 from chunkloom.session import spread
 
 MASK = "*****"
-#: What a line must have for a credential to be possible in it: a telling name before a sign, a login in an address or
-#: after -u, a private key's first line, a scheme of authorization, or a long token of letters and digits.
-GATE = re.compile(
-    r"""(?ix)
-      (?: pass\w* | pwd\w* | \bpw\w{0,3} | secret\w* | token\w* | key\w* | auth\w* | cred\w* | jwt\w* | dsn | cookie\w* | login | sign_?in | connect ) ["'\])]* [ \t]* [=:(>,]
-    | ://[^\s'"/]*@ | [ \t]-u[ \t] | --user\b | -----BEGIN[ ] | \b(?:bearer|basic)[ ]
-    | (?<![\w+/.-]) (?=[\w+/.%-]*[0-9]) (?=[\w+/.%-]*[a-z]) [\w+/.%-]{16,}
-    """
-)
+#: A line without any of these holds no literal and no value that goes to a name; the field reads all others.
+SIGN = re.compile(r"""["'`@]|[=:>]\s*[^\s=:>({\[]""")
 TOKEN = re.compile(
     r"""
     (?P<pem>-----(?:BEGIN|END)\ [A-Z0-9 ]+-----)
@@ -121,7 +114,8 @@ def lex(line: str) -> list[tuple[str, int, str, bool]]:
     return out
 
 
-def shape(text: str) -> list[str]:
+@lru_cache(maxsize=100_000)
+def shape(text: str) -> tuple[str, ...]:
     """Features of a token by itself."""
     n = len(text)
     lower, upper, digit = (any(c in s for c in text) for s in (string.ascii_lowercase, string.ascii_uppercase, string.digits))
@@ -149,7 +143,7 @@ def shape(text: str) -> list[str]:
         f.append("wordnum")
     if text.startswith("/") or re.search(r"^\w+(?:[./]\w+)+$", text) and not digit:
         f.append("path")
-    return f
+    return tuple(f)
 
 
 def parts(name: str) -> set[str]:
@@ -220,51 +214,76 @@ def context(tokens: list[tuple[str, int, str, bool]], i: int) -> tuple[str, str,
     return name, how, call, commas
 
 
-def features(tokens: list[tuple[str, int, str, bool]]) -> list[list[int]]:
-    """The hashed features of every token of a line."""
-    out = []
+@lru_cache(maxsize=50_000)
+def kind_of_call(call: str) -> tuple[bool, bool, bool]:
+    """(logs in, reads from elsewhere, looks up by get) of the function around a value."""
+    last = call.lower().rsplit(".", 1)[-1]
+    reads = bool(re.search(r"getpass|getenv|read|fetch|load|lookup|input|prompt|environ|decrypt|info|debug|warning|error|print|log|exception", call.lower()))
+    return bool(re.search(r"login|sign_?in|auth|connect|credential", last)), reads, last == "get"
+
+
+def groups(tokens: list[tuple[str, int, str, bool]]) -> Iterator[list[tuple]]:
+    """For every token of a line the groups of features that it has; spelled() names the features of a group."""
     for i, (text, _, kind, quoted) in enumerate(tokens):
-        f = ["bias", f"k{kind}{quoted:d}"]
         if kind == "pem":
-            f += ["pem_private" if "BEGIN" in text and "PRIVATE KEY" in text else "pem_other"]
-        elif kind == "word":
-            s = shape(text)
-            name, how, call, arg = context(tokens, i)
-            nk = kind_of_name(name) if name else "no"
-            left = [x[0].lower() for x in tokens[max(0, i - 3) : i] if x[2] != "quote"]
-            right = next((x[0] for x in tokens[i + 1 :] if x[2] != "quote"), "")
-            value = quoted or how in ("=", ":", ">")
-            is_name = right in ("=", ":", "(", "[", ".") and right != "" and not (right == ":" and left[-1:] == ["-u"])
-            f += s
-            f += [f"name_{nk}", f"how{how}_{nk}", f"value{value:d}_{nk}", f"isname{is_name:d}"]
-            f += [f"{x}_{nk}_{value:d}" for x in s]
-            if "standin" in s:
-                f.append(f"standin_q{quoted:d}")
-            if left[-1:] in (["bearer"], ["basic"], ["token"]):
-                f += ["scheme_word", *[f"scheme_{x}" for x in s]]
-            if right == "@" and left[-1:] == [":"]:
-                f += ["login_in_address", *[f"login_{x}" for x in s]]
-            elif right == "@" or left[-1:] == ["@"]:
-                f.append("host_or_user")
-            if len(left) >= 2 and left[-1] == ":" and len(left) >= 3 and left[-3] in ("-u", "--user"):
-                f += ["after_u", *[f"u_{x}" for x in s]]
-            if left[-1:] == ["/"] and any(re.search(r"login|account|cred", x[0].lower()) for x in tokens[max(0, i - 5) : i]):
-                f += ["slash_login", *[f"slash_{x}" for x in s]]
-            c = call.lower().rsplit(".", 1)[-1]
-            if c:
-                login = bool(re.search(r"login|sign_?in|auth|connect|credential", c))
-                reads = bool(re.search(r"getpass|getenv|read|fetch|load|lookup|input|prompt|environ|decrypt|info|debug|warning|error|print|log|exception", call.lower())) or c == "get" and arg == 0
-                f += [f"login{login:d}_arg{min(arg, 2)}_{nk}", f"reads{reads:d}", f"reads{reads:d}_{nk}"]
-                if c == "get" and arg >= 1:
-                    f += ["fallback", *[f"fallback_{x}" for x in s]]
-                if login:
-                    f += [f"login_arg{min(arg, 2)}_{x}" for x in s]
-            if how == "tuple":
-                f += [f"tuple{arg}_{nk}", *[f"tuple{arg}_{nk}_{x}" for x in s]]
-        else:
-            f.append(f"t{text[:3]}")
-        out.append([hashed(x) for x in f])
-    return out
+            yield [("pem", quoted, "BEGIN" in text and "PRIVATE KEY" in text)]
+            continue
+        if kind != "word":
+            yield [("sign", quoted, kind, text[:3])]
+            continue
+        name, how, call, arg = context(tokens, i)
+        nk = kind_of_name(name) if name else "no"
+        left = [x[0].lower() for x in tokens[max(0, i - 3) : i] if x[2] != "quote"]
+        right = next((x[0] for x in tokens[i + 1 : i + 4] if x[2] != "quote"), "")
+        is_name = right in ("=", ":", "(", "[", ".") and right != "" and not (right == ":" and left[-1:] == ["-u"])
+        g: list[tuple] = [("own", text, quoted, is_name), ("name", text, nk, how, quoted or how in ("=", ":", ">"))]
+        before = left[-1] if left else ""
+        if before in ("bearer", "basic", "token"):
+            g.append(("scheme", text))
+        if right == "@" and before == ":":
+            g.append(("login", text))
+        elif right == "@" or before == "@":
+            g.append(("host",))
+        if before == ":" and len(left) >= 3 and left[-3] in ("-u", "--user"):
+            g.append(("u", text))
+        if before == "/" and any(re.search(r"login|account|cred", x[0].lower()) for x in tokens[max(0, i - 5) : i]):
+            g.append(("slash", text))
+        if call:
+            login, reads, get = kind_of_call(call)
+            g.append(("call", text, nk, login, min(arg, 2), reads or get and arg == 0, get and arg >= 1))
+        if how == "tuple":
+            g.append(("tuple", text, nk, min(arg, 8)))
+        yield g
+
+
+def spelled(group: tuple) -> list[str]:
+    """The names of the features of a group."""
+    kind, *x = group
+    if kind == "pem":
+        return ["bias", f"kpem{x[0]:d}", "pem_private" if x[1] else "pem_other"]
+    if kind == "sign":
+        return ["bias", f"k{x[1]}{x[0]:d}", f"t{x[2]}"]
+    if kind == "host":
+        return ["host_or_user"]
+    own = shape(x[0])
+    if kind == "own":
+        return ["bias", f"kword{x[1]:d}", f"isname{x[2]:d}", *own, *[f"standin_q{x[1]:d}"] * ("standin" in own)]
+    if kind == "name":
+        _, nk, how, value = x
+        return [f"name_{nk}", f"how{how}_{nk}", f"value{value:d}_{nk}", *[f"{s}_{nk}_{value:d}" for s in own]]
+    if kind == "call":
+        _, nk, login, arg, reads, fallback = x
+        f = [f"login{login:d}_arg{arg}_{nk}", f"reads{reads:d}", f"reads{reads:d}_{nk}"]
+        f += ["fallback", *[f"fallback_{s}" for s in own]] * fallback
+        return f + [f"login_arg{arg}_{s}" for s in own] * login
+    if kind == "tuple":
+        return [f"tuple{x[2]}_{x[1]}", *[f"tuple{x[2]}_{x[1]}_{s}" for s in own]]
+    return [f"{kind}_word", *[f"{kind}_{s}" for s in own]]
+
+
+def features(tokens: list[tuple[str, int, str, bool]]) -> list[list[int]]:
+    """The hashed features of every token of a line."""
+    return [[hashed(f) for x in g for f in spelled(x)] for g in groups(tokens)]
 
 
 # training lines, made by rule
@@ -342,6 +361,7 @@ def made_line(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
     secret = kind < 0.5
     value = _credential(r)
     name = r.choice(SECRET_NAMES) + (r.choice(["", "", "_" + _chars(r, string.ascii_lowercase + string.digits, 1, 2), _chars(r, string.ascii_lowercase + string.digits, 2, 2)]))
+    name_ = name
     service = r.choice(SERVICES)
     host = f"{service}{r.randint(1, 40)}.{r.choice(WORDS)}.example"
     value_of = [
@@ -363,7 +383,15 @@ def made_line(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
         f"# {name}: §",
         f"{name} = (",
     ]
-    if secret:
+    if secret and r.random() < 0.1:  # short passwords and those of several words, which only the name tells
+        name = r.choice(["password", "passwd", "pwd", "pw", "PASSWORD", "db_password", "passphrase", "secret", "kennwort_pw", "admin_password", "smtp_pass"])
+        value = r.choice([_chars(r, string.ascii_lowercase + string.digits + "!?%#", 4, 8), _chars(r, string.ascii_letters + string.digits, 5, 8), _chars(r, string.ascii_lowercase, 5, 9), " ".join(r.sample(WORDS, r.randint(2, 5)))])
+        if r.random() < 0.3:  # the other way round: only the value tells
+            name = r.choice(WORDS)[: r.randint(2, 6)] + r.choice(["", "conf", "wort", "_cfg", "2", "x"])
+            value = _chars(r, string.ascii_letters + string.digits, 3, 5) + r.choice("%!$&^") + _chars(r, string.ascii_letters + string.digits + "%!#$&^", 6, 12)
+        quoted = " " in value
+        pattern = r.choice(value_of[:4] + value_of[8:9] + value_of[:1] * 2 if quoted else value_of[:9]).replace(name_, name)
+    elif secret:
         special = [
             f"headers = {{{q}Authorization{q}: {q}Bearer §{q}, {q}Accept{q}: {q}*/*{q}}}",
             f"request.headers[{q}Authorization{q}] = {q}Basic §{q}",
@@ -469,18 +497,13 @@ def field(lines: int = 6000, seed: int = 5) -> Chain:
     return train(xs, ys)
 
 
-TELLING = re.compile(r"(?i)login|sign_?in|authenticate|account|credential")
-
-
-def possible(tokens: list[tuple[str, int, str, bool]]) -> bool:
-    """Whether any token could be a secret: a value of some length that is no plain word or number, or goes to a telling name."""
-    if any(k == "pem" for _, _, k, _ in tokens):
-        return True
-    telling = any(k == "word" and (kind_of_name(t) == "secret" or TELLING.search(t)) for t, _, k, _ in tokens)
-    return any(k == "word" and len(t) >= 6 and (telling or PREFIXES.match(t) or not re.fullmatch(r"[A-Za-z_]+|[\d._]+|[\w.]*[a-z_]+\(?", t)) for t, _, k, _ in tokens)
-
-
-BLOCK_END = re.compile(r"-----END [A-Z0-9 ]+-----")
+#: A private key up to its end mark, as it stands in texts, string literals and lists of them; and, where something else
+#: than a key comes before an end mark, the lines right after its head that can belong to it.
+WHOLE_KEY = re.compile(r"""-----BEGIN [A-Z0-9 ]+-----(?:[A-Za-z0-9+/\s"'`,\\().]|=(?=[=\r\n"'`\\])|(?:Proc-Type|DEK-Info|Comment|Version):[^\n]*)*?-----END [A-Z0-9 ]+-----""")
+PART_KEY = re.compile(r"""-----BEGIN [A-Z0-9 ]+-----(?:(?:\\[rn]|[ \t]*\r?\n[ \t]*)++[A-Za-z0-9+/=]++(?=[ \t]*(?:[\r\n"'`]|\\[rn]|\Z)))*+""")
+OPENS = ("(", "[", "{", "\\")
+CLOSES = (")", "]", "}")
+STATEMENTS = ("def ", "class ", "if ", "for ", "while ", "return ", "else", "try", "with ")
 
 
 class Finder:
@@ -488,48 +511,52 @@ class Finder:
 
     def __init__(self, chain: Chain):
         self.chain = chain
-        self.line = lru_cache(maxsize=100_000)(self._line)
+        emit = chain.emit.tolist()
+        self.group = lru_cache(maxsize=400_000)(lambda g: sum([emit[hashed(f)] for f in spelled(g)]))
+        self.line = lru_cache(maxsize=200_000)(self._line)
 
     def _line(self, head: str, line: str) -> tuple[tuple[int, int], ...]:
         """Spans in line; head is what it continues, or empty."""
         t = lex(head + line)
-        if not possible(t):
-            return ()
-        labels = self.chain.label(features(t))
-        spans = []
+        group = self.group
+        labels = self.chain.best([sum(map(group, g)) for g in groups(t)])
+        spans: list[tuple[int, int]] = []
         for (text, at, kind, _), y in zip(t, labels, strict=True):
-            if y and at >= len(head) and kind in ("word", "pem", "mark", "mask", "tag") and (kind in ("word", "pem") or spans and spans[-1][1] == at - len(head)):
-                if spans and spans[-1][1] == at - len(head):
-                    spans[-1] = (spans[-1][0], at - len(head) + len(text))
-                else:
-                    spans.append((at - len(head), at - len(head) + len(text)))
+            at -= len(head)
+            if not y or at < 0:
+                continue
+            if spans and not line[spans[-1][1] : at].strip():  # the words of one value
+                spans[-1] = (spans[-1][0], at + len(text))
+            elif kind in ("word", "pem"):
+                spans.append((at, at + len(text)))
         return tuple(spans)
 
     def spans(self, content: str) -> list[tuple[int, int, int]]:
-        """(line number, start, end) in content of every secret; a private key's block reaches to its end mark."""
+        """(line number, start, end) in content of every secret; a private key reaches to its end mark or its last line.
+
+        A line that ends in an open bracket or a backslash is the head of all lines that follow, up to the line that
+        closes the bracket or the first without a backslash.
+        """
         out: list[tuple[int, int, int]] = []
-        done, skip, no, counted, after = -1, 0, 1, 0, ("", -1)
-        for m in GATE.finditer(content):
-            start = content.rfind("\n", 0, m.start()) + 1
-            if start <= done or start < skip:
+        start, skip, head, joined = 0, 0, "", False
+        for no, text in enumerate(content.split("\n"), 1):
+            begin, start = start, start + len(text) + 1
+            if begin < skip:
                 continue
-            head = after[0] if after[1] == start else ""
-            while start >= 0:  # the line of the match, and the next where it leaves something open
-                end = content.find("\n", start)
-                end = len(content) if end < 0 else end
-                no += content.count("\n", counted, start)
-                counted = done = start
-                for a, b in self.line(head, content[start:end]):
-                    if content.startswith("-----BEGIN", start + a):
-                        stop = BLOCK_END.search(content, start + a)
-                        skip = stop.end() if stop else len(content)
-                        out.append((no, start + a, skip))
+            if SIGN.search(text) or "-----BEGIN" in text:
+                for a, b in self.line(head, text):
+                    if content.startswith("-----BEGIN", begin + a):
+                        key = WHOLE_KEY.match(content, begin + a) or PART_KEY.match(content, begin + a)
+                        skip = key.end() if key else begin + b
+                        out.append((no, begin + a, skip))
                         break
-                    out.append((no, start + a, start + b))
-                bare = content[start:end].strip()
-                opens = bare.endswith(("(", "[", "\\")) and len(bare) < 80 and not bare.startswith(("def ", "class ", "if ", "for ", "while ", "return ", "else", "try", "with "))
-                head, after = (bare + " ", (bare + " ", end + 1)) if opens and not head else ("", ("", -1))
-                start = end + 1 if head and end < len(content) and end + 1 >= skip else -1
+                    out.append((no, begin + a, begin + b))
+            bare = text.strip()
+            if head:
+                if joined and not bare.endswith("\\") or not joined and bare.startswith(CLOSES) or not joined and bare.count("(") + bare.count("[") < bare.count(")") + bare.count("]"):
+                    head = ""
+            elif bare.endswith(OPENS) and ("=" in bare or ":" in bare) and not bare.startswith(STATEMENTS):
+                head, joined = bare + " ", bare.endswith("\\")
         return out
 
 
@@ -538,7 +565,7 @@ def _run(batches: Iterator[pa.RecordBatch], weights, redact: bool) -> Iterator[p
     for b in batches:
         ids, lines, texts, counts = [], [], [], []
         for i, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = finder.spans(content) if GATE.search(content) else []
+            found = finder.spans(content)
             if redact:
                 for _, a, z in reversed(found):
                     content = content[:a] + MASK + content[z:]

@@ -308,6 +308,23 @@ def test_credentials_in_place(spark):
     assert out["1"] == texts["1"].replace("hT6%kq92Lz!p", secrets.MASK) and out["2"] == texts["2"] and out["4"] == "dsn = 'postgresql://web:*****@db.example:5432/x'" and out["3"] == f'k_pem = """{secrets.MASK}"""\nx = 1'
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('pwd = "x9!Qa"', ["x9!Qa"]), ('pw="k3!x"', ["k3!x"]), ('dbconf = "hT6%kq92Lz!p"', ["hT6%kq92Lz!p"]), ('kennwort = "hT6%kq92Lz!p"', ["hT6%kq92Lz!p"]),
+        ("pwd: s3cr3t", ["s3cr3t"]), ("PASSWORD='abcdef'", ["abcdef"]), ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+        ('password = "example"', []), ('token = "start"', []), ("def f(password: str, n: int = 3):", []), ("pwd = os.getcwd()", []), ('print("password: ", n)', []), ('session_mode = "strict"', []),
+        ('key = """-----BEGIN RSA PRIVATE KEY-----\nMIIabc\n"""\ndef keep_me():\n    return 1', ["-----BEGIN RSA PRIVATE KEY-----\nMIIabc"]),
+        ("-----BEGIN PRIVATE KEY-----\nMIIabc\ndef keep_me():\n    pass", ["-----BEGIN PRIVATE KEY-----\nMIIabc"]),
+        ("k = '-----BEGIN PRIVATE KEY-----\\nMIIabc'\nx = 1\n'-----END PRIVATE KEY-----'", ["-----BEGIN PRIVATE KEY-----\\nMIIabc"]),
+        ('password = (\n  "abcD91k2x"\n  "defK82jd8"\n  "ghi3Kd92m"\n)', ["abcD91k2x", "defK82jd8", "ghi3Kd92m"]),
+        ('x = 1\ngateway_of_the_billing_service_in_the_second_region_of_the_archive_of_last_year_password = (\n  "abcD91k2x")', ["abcD91k2x"]),
+    ],
+)
+def test_credentials_written_by_hand(finder, text, found):
+    assert [text[a:b] for _, a, b in finder.spans(text)] == found
+
+
 # files nobody wrote
 
 
