@@ -16,7 +16,13 @@ STOPWORDS = (
     "a an and are across as at be before between by can do does explain for from get give happen happens how in into is it its like list of on or over show that the their them then there these this through to travel travels under up use used uses using "
     "what when where which who whom why will with within work works would"
 ).split()
-IDENTIFIER = r"\b(?:[A-Za-z_][A-Za-z0-9_]*\.)+[A-Za-z_][A-Za-z0-9_]*\b|\b[a-z]+_[a-z0-9_]+\b|\b[A-Z][a-z]+[A-Z][A-Za-z]*\b"
+#: What counts as a name of code in a question: parts with dots between, lower-case words with underscores, and
+#: capitalised words written together.
+PLAIN = "[A-Za-z_][A-Za-z0-9_]*"
+DOTTED = rf"\b{PLAIN}(?:\.{PLAIN})++"
+SNAKE = r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)++\b"
+CAMEL = r"\b[A-Z][a-z]+(?:[A-Z][a-z]*)++\b"
+IDENTIFIER = f"{DOTTED}|{SNAKE}|{CAMEL}"
 
 
 def fold(text: Column) -> Column:

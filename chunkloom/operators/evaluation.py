@@ -49,7 +49,6 @@ def suite(rows: DataFrame) -> DataFrame:
     One pass with grouping sets; every baseline has all levels, those without rows with 0.
     """
     r = latest(rows.select("row_id", "baseline", "question_id", "taxonomy", "citations", "evaluated_at", "received_at", *METRICS))
-    r.createOrReplaceTempView("__suite_rows")
     g = r.groupingSets([[F.col("baseline")], [F.col("baseline"), F.col("taxonomy")]], "baseline", "taxonomy").agg(
         F.count("*").alias("questions"), *[F.avg(m).alias(m) for m in METRICS], F.count_if(F.size("citations") == 0).alias("uncited"), F.grouping("taxonomy").alias("over")
     )

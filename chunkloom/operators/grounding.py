@@ -66,6 +66,20 @@ def verify(answers: DataFrame, chunks: DataFrame, symbols: DataFrame, evidence:
     return out.select("answer_id", "repo_id", "position", "kind", "token", "symbol", "file_path", "line", ok.alias("verified"), chunk.alias("chunk_id"), *more)
 
 
+def merged(citations: DataFrame) -> DataFrame:
+    """(answer_id, symbol, file_path, line, tokens, verified, chunk_id): citations of verify() that name the same place, as one.
+
+    verified if any of them is; tokens in the order in which the answer has them first.
+    """
+    tokens = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("position", "token"))), lambda x: x["token"]))
+    return citations.groupBy("answer_id", "symbol", "file_path", "line").agg(tokens.alias("tokens"), F.max("verified").alias("verified"), F.min("chunk_id").alias("chunk_id"))
+
+
+def unmatched(tokens: DataFrame, citations: DataFrame) -> DataFrame:
+    """(answer_id, token) of tokens that no citation of the answer has."""
+    return tokens.select("answer_id", "token").distinct().join(citations.select("answer_id", "token"), ["answer_id", "token"], "left_anti")
+
+
 def scores(answers: DataFrame, chunks: DataFrame, symbols: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """(answer_id, citations, verified, score): the verified share of an answer's citations, 0 where it has none."""
     v = verify(answers, chunks, symbols, evidence).groupBy("answer_id").agg(F.count("*").alias("citations"), F.count_if("verified").alias("verified"))
@@ -76,8 +90,8 @@ def scores(answers: DataFrame, chunks: DataFrame, symbols: DataFrame, evidence:
 def enforce(answers: DataFrame, chunks: DataFrame, symbols: DataFrame, threshold: float = THRESHOLD, evidence: DataFrame | None = None) -> DataFrame:
     """(answer_id, answer, score, removed): answers as they may be shown, unverified citations replaced and a note below.
 
-    The score is that before redaction. An answer at or above the threshold that cites something stays as it is. With
-    evidence, verified ids become their tokens and unverified citations are replaced whatever the score.
+    The score is that before redaction. Unverified citations are replaced whatever the score; the note comes only below
+    the threshold or where nothing is cited. With evidence, verified ids become their tokens.
     """
     v = verify(answers, chunks, symbols, evidence)
     bad = F.filter(F.array_sort(F.collect_list(F.struct("position", "verified", "kind", "token", "symbol", "file_path", "line"))), lambda c: ~c["verified"])
@@ -88,6 +102,6 @@ def enforce(answers: DataFrame, chunks: DataFrame, symbols: DataFrame, threshold
     score = F.coalesce(F.try_divide("good", "cited"), F.lit(0.0))
     n = F.coalesce("cited", F.lit(0))
     removed = F.coalesce(F.size("bad"), F.lit(0))
-    shown, strict = (F.col("answer"), score < threshold) if evidence is None else (F.coalesce(C.render_ids(F.col("answer"), F.map_from_entries("ids")), "answer"), F.lit(True))
-    cut = F.when(strict & (removed > 0), C.redact(shown, F.col("bad"), chinese)).otherwise(shown)
-    return a.select("answer_id", C.with_note(cut, score, threshold, n, removed, chinese).alias("answer"), score.alias("score"), F.when(strict, removed).otherwise(0).alias("removed"))
+    shown = F.col("answer") if evidence is None else F.coalesce(C.render_ids(F.col("answer"), F.map_from_entries("ids")), "answer")
+    cut = F.when(removed > 0, C.redact(shown, F.col("bad"), chinese)).otherwise(shown)
+    return a.select("answer_id", C.with_note(cut, score, threshold, n, removed, chinese).alias("answer"), score.alias("score"), removed.alias("removed"))

@@ -111,6 +111,23 @@ def resolved_calls(chunks: DataFrame, symbols: DataFrame, edges: DataFrame) -> D
     return calls.filter(F.col("target").isNotNull() | ~dull).select("chunk_id", "line", "position", "expression", "target")
 
 
+def call_summary(calls: DataFrame) -> DataFrame:
+    """(chunk_id, calls, resolved, unresolved) of resolved_calls(): how many there are, and how many end at a symbol or at none."""
+    return calls.groupBy("chunk_id").agg(F.count("*").alias("calls"), F.count("target").alias("resolved"), F.count_if(F.col("target").isNull()).alias("unresolved"))
+
+
+def callees_in_source(queries: DataFrame, chunks: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, line, position, expression, target): the calls in the text of the symbols that (query_id, repo_id, symbol) name.
+
+    They go with graph.call_neighbours(), which knows only calls that end at a symbol. Only chunks asked for are parsed.
+    """
+    from chunkloom.operators.graph import resolve
+
+    named = resolve(queries, symbols).filter("chunk_id is not null").select("query_id", "chunk_id").distinct()
+    asked = chunks.join(named.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi")
+    return resolved_calls(asked, symbols, edges).join(named, "chunk_id").select("query_id", "chunk_id", "line", "position", "expression", "target")
+
+
 def inspect_source(requests: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """(query_id, level, chunk_id, file_path): what the source inspector shows for (query_id, repo_id, file_path, line, symbol).
 

@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions import paths, text, vectors
-from chunkloom.session import spread
+from chunkloom.session import cut
 
 K1, B = 1.2, 0.75
 #: Both lists are cut to so many before they are merged; so many go to a reranker.
 POOL, RERANK_POOL = 50, 16
+#: Parts in which the chunks of a repository meet its queries.
+PARTS = 8
 RRF_K, DENSE_WEIGHT, SPARSE_WEIGHT = 60, 2.0, 1.0
 #: Scores are rounded before they are compared, so that the order of a sum does not decide ties.
 DIGITS = 9
@@ -44,19 +46,22 @@ def corpus_stats(documents: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, documents: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, repo_id, doc_id, score) of every document of the query's repository with a positive score.
 
-    queries: (query_id, repo_id, text); documents: (repo_id, doc_id, text). Tokens are joined with the terms that are
-    asked for before anything is counted, so the shuffle holds only these. A query term counts once; a term no document
-    has is skipped. Null texts are empty. Raises on k1 <= 0 or b outside 0 to 1.
+    queries: (query_id, repo_id, text); documents: (repo_id, doc_id, text). Texts are tokenised once: what is kept of them
+    are the terms that are asked for and one row a document for the statistics, cut off in the shared folder. A query
+    term counts once; a term no document has is skipped. Null texts are empty. Raises on k1 <= 0 or b outside 0 to 1.
     """
     if k1 <= 0:
         raise ValueError("k1 must be greater than zero")
     if not 0 <= b <= 1:
         raise ValueError("b must be between zero and one")
     asked = queries.select("query_id", "repo_id", F.explode(text.query_terms(F.coalesce("text", F.lit("")))).alias("term"))
-    d = documents.select("repo_id", "doc_id", text.tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
-    stats = d.groupBy("repo_id").agg(F.count("*").alias("n"), (F.sum(F.size("tokens")) / F.count("*")).alias("mean_length"))
-    wanted = asked.select("repo_id", "term").distinct()
-    tf = d.select("repo_id", "doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, ["repo_id", "term"], "left_semi").groupBy("repo_id", "doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    repos = queries.select("repo_id").distinct().select("repo_id", F.lit("").alias("term"))  # no token is empty
+    wanted = asked.select("repo_id", "term").distinct().unionByName(repos)
+    tokens = text.tokenize(F.coalesce("text", F.lit("")))
+    d = documents.select("repo_id", "doc_id", tokens.alias("tokens")).select("repo_id", "doc_id", F.size("tokens").alias("length"), F.explode(F.array_append("tokens", F.lit(""))).alias("term"))
+    kept = cut(d.join(wanted, ["repo_id", "term"], "left_semi").groupBy("repo_id", "doc_id", "length", "term").agg(F.count("*").alias("tf")))
+    stats = kept.filter("term = ''").groupBy("repo_id").agg(F.sum("tf").alias("n"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("mean_length"))
+    tf = kept.filter("term <> ''")
     df = tf.groupBy("repo_id", "term").agg(F.count("*").alias("df"))
     idf = df.join(stats, "repo_id").select("repo_id", "term", "mean_length", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
@@ -87,16 +92,19 @@ def sparse_search(queries: DataFrame, chunks: DataFrame, limit: int = POOL) -> D
 def dense_search(queries: DataFrame, chunks: DataFrame, dim: int, limit: int = POOL) -> DataFrame:
     """(query_id, id, repo_id, file_path, start_line, dense_score, rank): the chunks nearest by cosine, exactly; ties by id.
 
-    queries: (query_id, repo_id, vector). Vectors that are null, of another length or all zero take no part; a query
+    An id counts once, with the nearest of its vectors where it came with several, before anything is scored, so each
+    pair of query and chunk is one row that the limit cuts on the map side. A repository is met in PARTS parts, so that a
+    large one is no single task. queries: (query_id, repo_id, vector). Vectors that are null, of another length or all zero take no part; a query
     with such a vector finds nothing.
     """
-    c = chunks.filter(vectors.is_valid(F.col("embedding"), dim)).select("id", "repo_id", "file_path", "start_line", "embedding")
-    q = queries.filter(vectors.is_valid(F.col("vector"), dim)).select("query_id", "repo_id", "vector")
-    c = spread(c, "id").withColumn("embedding", vectors.unit(F.col("embedding")))
-    q = q.withColumn("vector", vectors.unit(F.col("vector")))
-    scores = c.join(q, "repo_id").select("query_id", "id", "repo_id", "file_path", "start_line", F.round(vectors.dot(F.col("embedding"), F.col("vector")), DIGITS).alias("dense_score"))
-    once = scores.groupBy("query_id", "id").agg(*[F.max(x).alias(x) for x in ("repo_id", "file_path", "start_line", "dense_score")])
-    return ranked(once, [F.desc("dense_score"), F.asc("id")], limit)
+    c = chunks.filter(vectors.is_valid(F.col("embedding"), dim) & F.col("id").isNotNull()).select("id", "repo_id", "file_path", "start_line", "embedding")
+    q = queries.filter(vectors.is_valid(F.col("vector"), dim)).select("query_id", "repo_id", vectors.unit(F.col("vector")).alias("vector"))
+    c = c.groupBy("id", "repo_id").agg(F.max("file_path").alias("file_path"), F.max("start_line").alias("start_line"), F.transform(F.collect_set("embedding"), vectors.unit).alias("vectors"))
+    c = c.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    best = F.array_max(F.transform("vectors", lambda v: vectors.dot(v, F.col("vector"))))
+    scores = c.join(q, ["repo_id", "part"]).select("query_id", "id", "repo_id", "file_path", "start_line", F.round(best, DIGITS).alias("dense_score"))
+    return ranked(scores, [F.desc("dense_score"), F.asc("id")], limit)
 
 
 def fuse(sparse: DataFrame, dense: DataFrame, dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,11 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one where that is unset and all runs on one machine.
+
+    On a cluster without the setting there is no folder that all executors see, so that is an error.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if configured is None and current.isEmpty():
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: a cluster must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="chunkloom-")
     if current.isEmpty():
         sc.setCheckpointDir(configured)
@@ -55,8 +59,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it from there: a cut of lineage that survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import subprocess
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -12,19 +14,29 @@ from pyspark.sql import functions as F
 
 from chunkloom import schemas
 from chunkloom.functions.paths import is_skipped
+from chunkloom.sources.sinks import file_system
 
 MOST_BYTES = 1_000_000
 CLONE_SECONDS = 180
 
 
 def clone(url: str, to: str, seconds: int = CLONE_SECONDS) -> str:
-    """Clone the newest state of a repository into a fresh directory; the commit. Runs git on the driver, prompts off."""
-    target = Path(to)
-    if target.exists():
-        raise FileExistsError(to)
+    """Clone the newest state of a repository; the commit. Runs git on the driver, prompts off.
+
+    A directory that exists is replaced, once the clone beside it is whole.
+    """
+    final = Path(to)
+    target = final.with_name(f".{final.name}.{uuid.uuid4().hex}")
     env = {"GIT_TERMINAL_PROMPT": "0", "PATH": "/usr/bin:/bin:/usr/local/bin"}
-    subprocess.run(["git", "clone", "--depth=1", "--", url, to], check=True, timeout=seconds, env=env, capture_output=True)
-    return subprocess.run(["git", "-C", to, "rev-parse", "HEAD"], check=True, timeout=seconds, env=env, capture_output=True, text=True).stdout.strip()
+    try:
+        subprocess.run(["git", "clone", "--depth=1", "--", url, str(target)], check=True, timeout=seconds, env=env, capture_output=True)
+        commit = subprocess.run(["git", "-C", str(target), "rev-parse", "HEAD"], check=True, timeout=seconds, env=env, capture_output=True, text=True).stdout.strip()
+        if final.exists():
+            shutil.rmtree(final)
+        target.rename(final)
+    finally:
+        shutil.rmtree(target, ignore_errors=True)
+    return commit
 
 
 def source_tree(spark: SparkSession, root: str, repo_id: str, most_bytes: int = MOST_BYTES, pattern: str = "*.py") -> tuple[DataFrame, DataFrame]:
@@ -34,7 +46,9 @@ def source_tree(spark: SparkSession, root: str, repo_id: str, most_bytes: int =
     The contents of large files are never read.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", r"^.*?\Q" + str(Path(root).resolve()) + r"\E/", "")
+    fs, at = file_system(spark, root)
+    base = fs.resolvePath(at).toUri().getPath()  # as the scan names its files, whatever the file system
+    path = F.regexp_replace("path", r"^.*?\Q" + base + r"\E/", "")
     rows = raw.select(F.lit(repo_id).alias("repo_id"), path.alias("file_path"), "length", "content").filter(~is_skipped(F.col("file_path")))
     large = rows.filter(F.col("length") > most_bytes) if most_bytes > 0 else rows.filter(F.lit(False))
     small = rows.filter(F.col("length") <= most_bytes) if most_bytes > 0 else rows

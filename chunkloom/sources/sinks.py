@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = ("chunks", "symbols", "edges")
@@ -17,11 +17,22 @@ MANIFEST = "manifest"
 JOB_DAYS = 7
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of any address that Spark can read, local or not."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at)
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """(repo_id, revision): the newest published revision of each repository."""
     path = f"{root}/{MANIFEST}"
     schema = "repo_id string, revision int, rows map<string,bigint>, published_at timestamp"
-    m = spark.read.schema(schema).json(path) if Path(path).exists() else spark.createDataFrame([], schema)
+    m = spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
     return m.groupBy("repo_id").agg(F.max("revision").alias("revision"))
 
 
@@ -36,8 +47,9 @@ def publish(spark: SparkSession, root: str, repo_id: str, tables: dict[str, Data
     written = {}
     for name, df in tables.items():
         path = f"{root}/{name}/repo_id={repo_id}/revision={revision}"
-        df.drop("repo_id").write.mode("overwrite").parquet(path)
-        written[name] = spark.read.parquet(path).count()
+        counted = Observation()
+        df.drop("repo_id").observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+        written[name] = counted.get["rows"]
         if expected and name in expected and expected[name] != written[name]:
             raise ValueError(f"{name}: {written[name]} rows written, {expected[name]} expected")
     row = spark.createDataFrame([(repo_id, revision, written)], "repo_id string, revision int, rows map<string,bigint>")
@@ -51,6 +63,24 @@ def published(spark: SparkSession, root: str, table: str) -> DataFrame:
     return t.join(manifest(spark, root), ["repo_id", "revision"], "left_semi").drop("revision")
 
 
+def evict(spark: SparkSession, root: str) -> list[str]:
+    """Remove the revisions before the published one of every repository; the folders removed.
+
+    Later revisions stay, since a run may be writing them. Only names of folders come to the driver.
+    """
+    now = {r.repo_id: r.revision for r in manifest(spark, root).toLocalIterator()}
+    removed = []
+    for table in TABLES:
+        fs, at = file_system(spark, f"{root}/{table}")
+        for folder in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(at, "repo_id=*/revision=*")) or []:
+            path = folder.getPath()
+            repo, revision = path.getParent().getName().partition("=")[2], int(path.getName().partition("=")[2])
+            if revision < now.get(repo, 0):
+                fs.delete(path, True)
+                removed.append(path.toString())
+    return sorted(removed)
+
+
 def append_run(run: DataFrame, root: str) -> None:
     """Add rows to the provenance of index runs; there is no other way to write it."""
     run.write.mode("append").parquet(f"{root}/index_runs")

@@ -87,6 +87,24 @@ def test_intents(spark):
     assert got == '{"start":"a","end":"b"}'
 
 
+def test_subjects_of_questions(spark):
+    calls = {
+        "who calls Session.send": "Session.send", "Find callers of send": "send", "callers a.b": "a.b", "caller of x please": "x", "what calls send": "send", "which functions call send?": "send", "which method calls send": "send",
+        "What does send call?": "send", "which helpers do load_all call": "load_all", "callees of a.b.c": "a.b.c", "callee x": "x", "谁调用 send": "send", "哪些函数在调用send": "send", "send 被哪些函数调用": "send", "send调用了哪些": "send", "send 调用谁": "send",
+        "who owns send": None, "calls": None, "": None, "call 3": None,
+    }
+    df = spark.createDataFrame(list(calls.items()), "q string, want string").select("q", "want", intents.call_subject(F.col("q")).alias("got"))
+    assert [(r.q, r.got) for r in df.filter("not (got <=> want)").collect()] == []
+    refs = {"who references Foo.bar": "Foo.bar", "references to x": "x", "references of x": "x", "谁引用 Foo": "Foo", "引用了Foo": "Foo", "no reference": None}
+    df = spark.createDataFrame(list(refs.items()), "q string, want string").select("q", "want", intents.reference_subject(F.col("q")).alias("got"))
+    assert [(r.q, r.got) for r in df.filter("not (got <=> want)").collect()] == []
+    ways = {"which functions call send": "callers", "what does send call": "callees", "调用关系": "both", "what does x do": None, "": None}
+    df = spark.createDataFrame(list(ways.items()), "q string, want string").select("q", "want", intents.call_direction(F.col("q")).alias("got"))
+    assert [(r.q, r.got) for r in df.filter("not (got <=> want)").collect()] == []
+    names = one(spark, F.array_join(F.regexp_extract_all(F.col("t"), F.lit(text.IDENTIFIER), 0), ","), t="see a.b.C and load_all2 or HttpClient, not Word or word")
+    assert names == "a.b.C,load_all2,HttpClient"
+
+
 def test_keys(spark):
     assert one(spark, keys.embedding_key("m", F.col("t")), t="") == "embed:m:e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     a = one(spark, keys.tool_key(F.lit("grep"), F.lit("r"), F.lit(3), F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("2"))), t="")

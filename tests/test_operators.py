@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunkloom import schemas
-from chunkloom.operators import evaluation, graph, grounding, history, lookup, repositories, retrieval, skew
+from chunkloom.operators import embedding, evaluation, graph, grounding, history, lookup, repositories, retrieval, skew
 from chunkloom.operators.skew import Agg
 
 
@@ -120,6 +120,9 @@ def test_source_calls(spark):
     e = spark.createDataFrame([("1", "r", "m", "t", "calls", 11)], schemas.EDGES)
     rows = lookup.resolved_calls(c, s, e).orderBy("position").collect()
     assert [(r.expression, r.line, r.target) for r in rows] == [("self.run", 11, "a.C.run"), ("other.go", 14, None)]
+    assert [tuple(r) for r in lookup.call_summary(lookup.resolved_calls(c, s, e)).collect()] == [("c", 2, 1, 1)]
+    q = spark.createDataFrame([("q", "r", "C.m"), ("n", "r", "nothing")], "query_id string, repo_id string, symbol string")
+    assert [(r.query_id, r.expression, r.target) for r in lookup.callees_in_source(q, c, s, e).orderBy("position").collect()] == [("q", "self.run", "a.C.run"), ("q", "other.go", None)]
 
 
 def test_files(spark):
@@ -147,6 +150,26 @@ def test_groundedness(spark):
     got = {r.answer_id: r for r in grounding.enforce(a, c, s).collect()}
     assert round(got["1"].score, 4) == 0.6667 and got["1"].answer.startswith("`src/a.py:5` [unverified reference removed] and `mod.Name`") and "1 unverified reference removed" in got["1"].answer
     assert got["2"].score == 0.0 and "cites no indexed code" in got["2"].answer
+    lax = {r.answer_id: r for r in grounding.enforce(a, c, s, 0.5).collect()}
+    assert lax["1"].answer == "`src/a.py:5` [unverified reference removed] and `mod.Name`" and lax["1"].removed == 1
+    twice = spark.createDataFrame([("1", "r", "`src/a.py:5` src/a.py:5 `src/a.py:99`")], "answer_id string, repo_id string, answer string")
+    m = grounding.merged(grounding.verify(twice, c, s))
+    assert [(r.line, r.tokens, r.verified) for r in m.orderBy("line").collect()] == [(5, ["src/a.py:5"], True), (99, ["src/a.py:99"], False)]
+    tokens = spark.createDataFrame([("1", "src/a.py:5"), ("1", "b.py:1")], "answer_id string, token string")
+    assert [r.token for r in grounding.unmatched(tokens, grounding.verify(twice, c, s)).collect()] == ["b.py:1"]
+
+
+def test_embedding_with_cache(spark):
+    model = lambda texts: [(i, [float(len(t)), 1.0]) for i, t in reversed(list(enumerate(texts)))]
+    t = spark.createDataFrame([("1", "a"), ("2", "bb"), ("3", "bb"), ("4", None), ("5", "")], "id string, text string")
+    none = spark.createDataFrame([], "key string, vector array<float>")
+    got, new = embedding.embed(t, none, model, "m", 2)
+    assert {r.id: r.vector for r in got.collect()} == {"1": [1.0, 1.0], "2": [2.0, 1.0], "3": [2.0, 1.0], "5": [0.0, 1.0]} and new.count() == 3
+    assert embedding.embed(t, new, model, "m", 2)[1].count() == 0
+    for wrong in ([(0, [1.0, 2.0])], [(0, [1.0, 2.0]), (0, [1.0, 2.0])], [(0, [1.0, 2.0]), (2, [1.0, 2.0])], [(0, [1.0, 2.0]), (1, [1.0])]):
+        with pytest.raises(ValueError):
+            embedding.in_order(wrong, 2, 2)
+    assert embedding.in_order([(1, [1.0]), (0, [2.0])], 2, 1) == [[2.0], [1.0]]
 
 
 def test_groundedness_by_evidence_ids(spark):
