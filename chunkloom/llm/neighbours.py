@@ -3,7 +3,8 @@
 Centroids are fitted on a bounded sample by splitting until every list is small, so dense regions get more lists. An
 in-memory graph over the centroids finds those next to a vector. Each vector goes to its nearest list and to others
 whose centroid is hardly farther, so vectors near a boundary are in several lists; the same lists are searched for it.
-Within a list all vectors meet in blocks. Exact copies are one vector there and become rows again at the end.
+Within a list all vectors meet in blocks. Copies, of whatever length, are one vector there and become rows again at the
+end.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,12 @@ LEAST = 2
 LINKS, BEAM = 16, 12
 #: Vectors of a list that are held against the list at a time.
 BLOCK_ROWS = 2_048
+#: A list that the sample expects to hold more is parted into blocks, of which each pair meets in a group of its own.
+MOST_IN_GROUP = 8_192
+#: Vectors whose directions agree to so many units in each number are one class, whatever their lengths.
+UNITS = 10_000
+#: A class of more ids than this, and than a thousandth of all, meets its neighbours by a broadcast; there are at most 1,000.
+HEAVY = 10_000
 SEED = 3
 
 
@@ -116,6 +124,26 @@ class Centroids:
         return [i[k] for i, k in zip(ids, keep, strict=True)]
 
 
+def parts_of(centroids: Centroids, sample: np.ndarray, n: int, copies: int) -> np.ndarray:
+    """Into how many blocks each list is parted, by the share of the sample that is nearest to it."""
+    if not len(sample):
+        return np.ones(len(centroids.points), np.int32)
+    nearest = np.concatenate([centroids.nearest(sample[a : a + 4096], 1)[0][:, 0] for a in range(0, len(sample), 4096)])
+    expected = np.bincount(nearest, minlength=len(centroids.points)) * (n / len(sample)) * copies
+    return np.maximum(1, np.ceil(2 * expected / MOST_IN_GROUP)).astype(np.int32) * (expected > MOST_IN_GROUP) + (expected <= MOST_IN_GROUP)
+
+
+def groups_of(lists: np.ndarray, classes: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, pair): the pairs of blocks in which each row of (list, class) meets others; pair 0 alone where a list is whole."""
+    p = parts[lists]
+    if (p == 1).all():
+        return np.arange(len(lists)), np.zeros(len(lists), np.int32)
+    rows = np.repeat(np.arange(len(lists)), p)
+    other = np.concatenate([np.arange(k) for k in p])
+    own = (classes.astype(np.uint64) % p.astype(np.uint64)).astype(np.int64)[rows]
+    return rows, (np.minimum(own, other) * p[rows] + np.maximum(own, other)).astype(np.int32)
+
+
 def fit(sample: np.ndarray, lists: int) -> Centroids:
     if not len(sample):
         return Centroids(np.eye(1, DIM, dtype=np.float32))
@@ -174,43 +202,65 @@ def usable(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "embedding").filter(F.col("id").isNotNull() & e.isNotNull() & (F.size(e) == DIM) & F.exists(e, lambda v: v != 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e30)))
 
 
+def directions(chunks: DataFrame) -> DataFrame:
+    """(id, class, vector) of usable(): the vector at length 1 as bytes, and the class of its direction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = unit(b.column(1))
+            cells = np.rint(x * UNITS).astype(np.int16)
+            classes = [xxhash.xxh3_64_intdigest(c.tobytes()) for c in cells]
+            packed = pa.Array.from_buffers(pa.binary(DIM * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(classes, np.uint64).view(np.int64)), packed], ["id", "class", "vector"])
+
+    return usable(chunks).mapInArrow(run, "id string, class bigint, vector binary")
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, DIM)
+
+
 def similar(chunks: DataFrame, k: int = NEAREST, floor: float = -1.0) -> DataFrame:
     """(id, neighbour, similarity, rank): the k most similar other ids of every id, cosine at least floor; ties go to the smaller id.
 
     A floor of -1 is none: every id gets its k neighbours, however far, and the lists are WIDE.
 
-    Copies of a vector, a third of all rows if need be, are one class in the lists; no group of them is ever held in
-    one task. Of a class only the k + 1 smallest ids can be neighbours of anything, and a window with a limit per key
+    Copies of a vector, of whatever length, a third of all rows if need be, are one class in the lists; no group of them
+    is ever held in one task. Directions that differ by less than a unit of UNITS count as one, at similarity 1. Of a class only the k + 1 smallest ids can be neighbours of anything, and a window with a limit per key
     finds them, which the map side cuts already. Repeated rows of an id count once. The lists are an approximation
     (recall is measured in the tests); similarities are computed exactly for all that meet.
     """
     spark = chunks.sparkSession
-    rows = usable(chunks).withColumn("class", F.xxhash64("embedding"))
-    classes = rows.groupBy("class").agg(F.first("embedding").alias("embedding"))
-    n = classes.count()
+    rows = directions(chunks)
+    classes = rows.groupBy("class").agg(F.min("vector").alias("vector"))
+    large = max(HEAVY, chunks.count() // 1000)
+    n, heavy = rows.groupBy("class").count().agg(F.count("*"), F.collect_list(F.when(F.col("count") > large, F.col("class")))).first()
     list_size, ratio, copies = (LIST_SIZE, RATIO, COPIES) if floor > -1 else WIDE
     lists = int(min(MOST_LISTS, max(1, n // list_size)))
     want = lists * SAMPLED
     picked = classes if n <= want else classes.filter(F.pmod(F.xxhash64("class", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * want / n) + 1)
-    sample = picked.select("embedding").limit(2 * want + 16).toArrow().column(0).combine_chunks()
-    centroids = spark.sparkContext.broadcast(fit(unit(sample) if len(sample) else np.empty((0, DIM), np.float32), lists))  # at most MOST_LISTS
+    sample = unpacked(picked.select("vector").limit(2 * want + 16).toArrow().column(0).combine_chunks())
+    fitted = fit(sample, lists)
+    centroids = spark.sparkContext.broadcast((fitted, parts_of(fitted, sample, n, copies)))  # at most MOST_LISTS
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = centroids.value
+        c, parts = centroids.value
         for b in batches:
             for a in range(0, b.num_rows, 4096):
                 part = b.slice(a, 4096)
                 if not part.num_rows:
                     continue
-                x = unit(part.column(1))
+                x = unpacked(part.column(1))
                 found = c.lists(x, ratio, copies, 1 if floor > -1 else LEAST)
                 rows = np.repeat(np.arange(len(x)), [len(f) for f in found])
-                packed = x[rows].tobytes()
-                size = DIM * 4
-                vectors = pa.Array.from_buffers(pa.binary(size), len(rows), [None, pa.py_buffer(packed)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), part.column(0).take(pa.array(rows)), vectors], ["list", "class", "vector"])
+                lists = np.concatenate(found).astype(np.int32)
+                again, pair = groups_of(lists, part.column(0).to_numpy()[rows], parts)
+                taken = pa.array(rows[again])
+                yield pa.RecordBatch.from_arrays([pa.array(lists[again]), pa.array(pair), part.column(0).take(taken), part.column(1).take(taken)], ["list", "pair", "class", "vector"])
 
-    placed = classes.mapInArrow(place, "list int, class bigint, vector binary")
+    placed = classes.mapInArrow(place, "list int, pair int, class bigint, vector binary")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_ids: list[np.ndarray] = []
@@ -225,9 +275,9 @@ def similar(chunks: DataFrame, k: int = NEAREST, floor: float = -1.0) -> DataFra
         for b in batches:
             if not b.num_rows:
                 continue
-            where = b.column(0).to_numpy()
-            ids = b.column(1).to_numpy()
-            x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(-1, DIM)
+            where = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy()
+            ids = b.column(2).to_numpy()
+            x = unpacked(b.column(3))
             edges = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
             for a, z in zip(edges, np.append(edges[1:], len(where)), strict=True):
                 if current is not None and where[a] != current:
@@ -238,7 +288,7 @@ def similar(chunks: DataFrame, k: int = NEAREST, floor: float = -1.0) -> DataFra
                 kept.append(x[a:z])
         yield from out()
 
-    met = placed.repartition("list").sortWithinPartitions("list").mapInArrow(meet, "class bigint, other bigint, similarity double")
+    met = placed.repartition("list", "pair").sortWithinPartitions("list", "pair").mapInArrow(meet, "class bigint, other bigint, similarity double")
     links = met.repartition("class").groupBy("class", "other").agg(F.max("similarity").alias("similarity"))
     # as many other classes as could be needed: each holds an id, which is the own one where an id has two vectors
     links = links.withColumn("n", F.rank().over(Window.partitionBy("class").orderBy(F.desc("similarity")))).filter(F.col("n") <= k + 1).drop("n")
@@ -248,7 +298,11 @@ def similar(chunks: DataFrame, k: int = NEAREST, floor: float = -1.0) -> DataFra
     heads = members.withColumn("n", F.row_number().over(small)).filter(F.col("n") <= k + 1).select("class", F.col("id").alias("neighbour"))
     own = heads.join(heads.groupBy("class").count().filter("count > 1").select("class"), "class")
     known = own.withColumn("similarity", F.lit(1.0)).unionByName(links.join(heads.withColumnRenamed("class", "other"), "other").select("class", "neighbour", "similarity"))
-    pairs = members.join(known, "class").filter("id <> neighbour").repartition("id").groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
+    met_by = members.join(known, "class")
+    if heavy:  # one key each in a shuffle, so they are joined where they lie
+        few = F.broadcast(known.filter(F.col("class").isin(*heavy)))
+        met_by = members.filter(~F.col("class").isin(*heavy)).join(known, "class").unionByName(members.join(few, "class"))
+    pairs = met_by.filter("id <> neighbour").repartition("id").groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -142,6 +142,25 @@ def test_a_hot_vector_keeps_its_neighbours(spark, monkeypatch):
     assert sum(len(want[i] & got.get(i, set())) for i in want) >= 0.95 * 300
 
 
+def test_a_third_of_all_rows_in_one_direction(spark, monkeypatch):
+    """Scaled copies are one class and heavy; noisy ones fill lists, which are parted."""
+    monkeypatch.setattr(neighbours, "HEAVY", 100)
+    monkeypatch.setattr(neighbours, "MOST_IN_GROUP", 300)
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=(1, neighbours.DIM))
+    scaled = hot * rng.uniform(0.1, 9, (700, 1))
+    noisy = (hot + rng.normal(size=(700, neighbours.DIM)) * 0.1) * rng.uniform(0.1, 9, (700, 1))
+    x = np.concatenate([scaled, noisy, rng.normal(size=(1400, neighbours.DIM))])
+    ids = [f"{i:05}" for i in range(len(x))]
+    got = {tuple(r) for r in neighbours.similar_pairs(chunks(spark, [chunk(i, "x", embedding=[float(v) for v in e]) for i, e in zip(ids, x, strict=True)])).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert all(u[int(a)] @ u[int(b)] >= 0.94 - 1e-6 for a, b in got)
+    for i in range(5, 700):  # the smallest ids of the class
+        assert {(f"{j:05}", ids[i]) for j in range(5)} <= got
+    want = {p for p in brute(ids, x) if p[0] >= "00700"}
+    assert len(want & got) >= 0.97 * len(want)
+
+
 def test_equal_vectors_make_one_list():
     rng = np.random.default_rng(8)
     x = np.concatenate([np.repeat(rng.normal(size=(1, neighbours.DIM)), 500, 0), rng.normal(size=(500, neighbours.DIM))]).astype(np.float32)
