@@ -1,8 +1,10 @@
 """Evaluation items that documents carry, whole or in large part.
 
-The items make a BM25 inverted index with the highest impact of each block of postings. Every passage of every document
-is a query; block-max WAND retrieves all items above the item's threshold, which is no higher than the least score
-that half of the item can have. An alignment of words then decides.
+The items make a BM25 inverted index with the highest impact of each term in each block of items. Every passage of every
+document is a query; block-max WAND retrieves all items above the item's threshold, which is no higher than the least
+score that half of the item can have. Blocks are ranges of item numbers, the same for all terms, so WAND's test, whether
+the highest impacts add up to the threshold, runs for all blocks at once, and only items of blocks that pass are scored.
+An alignment of words then decides.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from chunkloom.session import spread
 MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&(?:nbsp|lt|gt|amp|quot);")
 SIGNS = re.compile(r"[\W_]+")
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 4
 SHARE = 0.5
 REPLACED = 0.1
 GRID = 300
@@ -32,7 +34,9 @@ MOST_CHARS = 64_000_000
 
 def words(text: str) -> list[str]:
     """What stands between white space, in lower case and without punctuation; markup and comment signs leave nothing."""
-    return [w for x in MARKUP.sub(" ", text).lower().split() if (w := SIGNS.sub("", x))]
+    if "<" in text or "&" in text:
+        text = MARKUP.sub(" ", text)
+    return [w for x in text.lower().split() if (w := x if x.isalnum() else SIGNS.sub("", x))]
 
 
 class Index:
@@ -53,11 +57,13 @@ class Index:
             least = self.threshold(w, impact)
             for t, x in impact.items():
                 lists[t].append((d, x / least if least > 0 else 1.0))
-        #: term: (items, impacts, highest impact, highest impact and last item of each block)
+        #: term: (items, impacts, highest impact, blocks that have it, highest impact in each of these)
         self.lists = {}
         for t, p in lists.items():
-            blocks = [(max(x for _, x in p[i : i + BLOCK]), p[min(i + BLOCK, len(p)) - 1][0]) for i in range(0, len(p), BLOCK)]
-            self.lists[t] = ([d for d, _ in p], [x for _, x in p], max(x for _, x in p), blocks)
+            docs, x = np.array([d for d, _ in p]), np.array([v for _, v in p])
+            blocks, first = np.unique(docs // BLOCK, return_index=True)
+            self.lists[t] = (docs, x, float(x.max()), blocks, np.maximum.reduceat(x, first))
+        self.blocks = -(-n // BLOCK)
 
     @staticmethod
     def threshold(w: list[str], impact: dict[str, float]) -> float:
@@ -80,56 +86,17 @@ class Index:
 
     def search(self, terms: set[str]) -> list[int]:
         """Block-max WAND: all items whose score over the terms is at least 1."""
-        cursors = [[p[0][0], 0, p] for t in terms if (p := self.lists.get(t))]
-        if sum(c[2][2] for c in cursors) < 1:
+        found = [p for t in terms if (p := self.lists.get(t))]
+        if sum(p[2] for p in found) < 1 - 1e-9:
             return []
-        found, end = [], len(self.ids)
-        while cursors:
-            cursors.sort(key=lambda c: c[0])
-            total, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                total += c[2][2]
-                if total >= 1:
-                    pivot = k
-                    break
-            if pivot < 0:
-                break
-            doc = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == doc:
-                pivot += 1
-            bound, reach = 0.0, end
-            for c in cursors[: pivot + 1]:
-                b = c[1] // BLOCK
-                blocks = c[2][3]
-                while b < len(blocks) and blocks[b][1] < doc:
-                    b += 1
-                if b < len(blocks):
-                    bound += blocks[b][0]
-                    reach = min(reach, blocks[b][1] + 1)
-            if bound >= 1:
-                if cursors[0][0] == doc:
-                    score = 0.0
-                    for c in cursors[: pivot + 1]:
-                        score += c[2][1][c[1]]
-                    if score >= 1 - 1e-9:
-                        found.append(doc)
-                    goal = doc + 1
-                else:
-                    goal = doc
-            else:
-                goal = max(doc + 1, min(reach, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end))
-            left = []
-            for k, c in enumerate(cursors):
-                if k <= pivot and c[0] < goal:
-                    docs, i = c[2][0], c[1]
-                    while i < len(docs) and docs[i] < goal:
-                        i += 1
-                    if i == len(docs):
-                        continue
-                    c[0], c[1] = docs[i], i
-                left.append(c)
-            cursors = left
-        return found
+        bound = np.bincount(np.concatenate([p[3] for p in found]), np.concatenate([p[4] for p in found]), self.blocks)
+        alive = bound >= 1 - 1e-9
+        if not alive.any():
+            return []
+        docs, impacts = np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
+        kept = alive[docs // BLOCK]
+        scores = np.bincount(docs[kept], impacts[kept], len(self.ids))
+        return np.flatnonzero(scores >= 1 - 1e-9).tolist()
 
     def holds(self, item: int, text: list[str]) -> bool:
         """Whether a text holds at least half of the item's words as one passage, in order, at most one in ten replaced.

@@ -11,7 +11,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from chunkloom.session import spread
 BITS = 17
 LEAST_SENTENCES = 2
 LEAST_WORDS = 4
+#: Documents whose sentences are scored at a time.
+BATCH = 512
 #: At most so many labelled documents, by a seeded hash of the id, are used to train and calibrate.
 MOST_LABELLED = 6_000
 HELD_OUT = 0.3
@@ -62,14 +65,18 @@ def paragraphs(text: str) -> list[list[str]]:
     return out
 
 
+@lru_cache(maxsize=1 << 18)
+def hashed(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+
+
 def grams(sentence: str) -> list[int]:
     """Hashed single words and pairs of a sentence, code left out; empty for what is too short to be a sentence."""
     w = WORD.findall(CODE_SPAN.sub(" ", sentence).lower())
     if len(w) < LEAST_WORDS:
         return []
-    mask = (1 << BITS) - 1
-    out = {zlib.crc32(x.encode()) & mask for x in w}
-    out.update(zlib.crc32(f"{a} {b}".encode()) & mask for a, b in zip(w, w[1:], strict=False))
+    out = {hashed(x) for x in w}
+    out.update(hashed(f"{a} {b}") for a, b in zip(w, w[1:], strict=False))
     return list(out)
 
 
@@ -79,22 +86,31 @@ class Model:
     def __init__(self, subjects: list[str], weights: np.ndarray, bias: np.ndarray, thresholds: np.ndarray):
         self.subjects, self.weights, self.bias, self.thresholds = subjects, weights, bias, thresholds
 
-    def scores(self, sentence: str) -> np.ndarray | None:
-        g = grams(sentence)
-        return self.weights[g].sum(0) / np.sqrt(len(g)) + self.bias if g else None
-
-    def best(self, text: str) -> np.ndarray:
-        """For each subject the LEAST_SENTENCES-th highest score within a paragraph, of the best paragraph."""
-        top = np.full(len(self.subjects), -np.inf)
-        for p in paragraphs(text):
-            s = [x for x in map(self.scores, p) if x is not None]
-            if len(s) >= LEAST_SENTENCES:
-                top = np.maximum(top, np.sort(np.array(s), 0)[-LEAST_SENTENCES])
+    def best(self, texts: Sequence[str]) -> np.ndarray:
+        """(texts, subjects): the LEAST_SENTENCES-th highest score within a paragraph, of the best paragraph of each text.
+
+        The sentences of all texts are scored by one sparse product.
+        """
+        top = np.full((len(texts), len(self.subjects)), -np.inf)
+        rows: list[list[int]] = []
+        spans: list[tuple[int, int, int]] = []
+        for d, text in enumerate(texts):
+            for p in paragraphs(text):
+                start = len(rows)
+                rows += [g for g in map(grams, p) if g] if len(p) >= LEAST_SENTENCES else []
+                if len(rows) - start >= LEAST_SENTENCES:
+                    spans.append((d, start, len(rows)))
+                else:
+                    del rows[start:]
+        if not rows:
+            return top
+        lengths = np.array([len(r) for r in rows])
+        starts = np.concatenate(([0], lengths.cumsum()[:-1]))
+        scores = np.add.reduceat(self.weights[np.concatenate([np.array(r) for r in rows])], starts, 0) / np.sqrt(lengths)[:, None] + self.bias
+        for d, a, z in spans:
+            top[d] = np.maximum(top[d], np.partition(scores[a:z], z - a - LEAST_SENTENCES, 0)[z - a - LEAST_SENTENCES])
         return top
 
-    def subjects_of(self, text: str) -> list[str]:
-        return [s for s, ok in zip(self.subjects, self.best(text) >= self.thresholds, strict=True) if ok]
-
 
 def fit_sentences(rows: list[list[int]], target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One-versus-rest logistic regression by full-batch Adam; target is (sentences, subjects)."""
@@ -147,21 +163,23 @@ def fit(labelled: list[tuple[int, str, set[str]]], seeds: dict[str, list[str]])
         y = np.zeros(k)
         y[column[s]] = 1
         for x in seed:
-            rows.append([zlib.crc32(x.encode()) & ((1 << BITS) - 1)])
+            rows.append([hashed(x)])
             target.append(y)
     if not labelled or not rows:
         return Model(names, np.zeros((1 << BITS, k), np.float32), np.zeros(k), np.full(k, np.inf))
     whole = np.array(target)
     soft = whole.copy()
+    lengths, flat = np.array([len(r) for r in rows]), np.concatenate([np.array(r) for r in rows])
+    starts = np.concatenate(([0], lengths.cumsum()[:-1]))
     for _ in range(ROUNDS):
         w, b = fit_sentences(rows, soft)
-        z = np.stack([w[r].sum(0) / np.sqrt(len(r)) + b for r in rows])
+        z = np.add.reduceat(w[flat], starts, 0) / np.sqrt(lengths)[:, None] + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         #: Within a labelled document only the sentences that look like the subject count for it.
         soft = whole * (p > 0.3)
     model = Model(names, w, b, np.zeros(k))
     if held:
-        best = np.stack([model.best(t) for t, _ in held])
+        best = model.best([t for t, _ in held])
         truth = np.stack([y for _, y in held])
         for j in range(k):
             order = np.unique(best[:, j][np.isfinite(best[:, j]) & (best[:, j] > -3)])
@@ -189,13 +207,12 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
+        names = pa.array(m.subjects, pa.string())
         for b in batches:
-            docs, found = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for s in m.subjects_of(text):
-                    docs.append(doc)
-                    found.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.string())], ["doc_id", "subject"])
+            for a in range(0, b.num_rows, BATCH):
+                part = b.slice(a, BATCH)
+                doc, subject = np.nonzero(m.best(part.column(1).to_pylist()) >= m.thresholds)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()).take(pa.array(doc)), names.take(pa.array(subject))], ["doc_id", "subject"])
 
     return spread(documents.filter("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id bigint, subject string").distinct()
 
