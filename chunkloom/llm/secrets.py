@@ -23,8 +23,9 @@ from chunkloom.llm.crf import Chain, hashed, train
 from chunkloom.session import spread
 
 MASK = "*****"
-#: A line without any of these holds no literal and no value that goes to a name; the field reads all others.
-SIGN = re.compile(r"""["'`@]|[=:>]\s*[^\s=:>({\[]""")
+#: A line without any of these holds no literal and no value that goes to a name; the field reads all others. What is
+#: called or indexed right after a sign is code, no value.
+SIGN = re.compile(r"""["'`@]|[=:>]\s*(?![\w.]++[(\[])[^\s=:>({\[]""")
 TOKEN = re.compile(
     r"""
     (?P<pem>-----(?:BEGIN|END)\ [A-Z0-9 ]+-----)
@@ -32,13 +33,14 @@ TOKEN = re.compile(
   | (?P<scheme>[a-zA-Z][a-zA-Z0-9+.-]*://)
   | (?P<tag></?[\w.:-]+|/?>)
   | (?P<mask>[*•]{3,}|[xX]{6,}(?![\w])|\$\{[^}\n]*\}|\$\([^)\n]*\)|\{\{[^}\n]*\}\}|%\([\w.]+\)s|<[\w][\w .:-]*>)
-  | (?P<word>[\w+/.%!\#$^&*~=@?|\\-]+?(?=["'`\s,;:(){}\[\]<>]|:|$))
+  | (?P<word>[\w+/.%!\#$^&*~=@?|\\-]++(?=["'`\s,;:(){}\[\]<>]|$))
   | (?P<space>\s+)
   | (?P<mark>.)
     """,
     re.X | re.S,
 )
 NAME = re.compile(r"^[A-Za-z_][\w.-]*$")
+WORDY = re.compile(r"\w").search
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Parts of names that hold credentials, parts that hold something else, and text that stands for a value.
 SECRET_PARTS = frozenset("pass password passwd passphrase passcode pwd pw secret secrets token tokens key apikey auth authorization credential credentials cred creds private signing encryption webhook access client jwt bearer dsn api pem smtp db".split())
@@ -108,9 +110,9 @@ def lex(line: str) -> list[tuple[str, int, str, bool]]:
                 add(text[:-1], at, "word")
                 add("=", at + len(text) - 1, "mark")
                 continue
-            add(text, at, "word" if re.search(r"\w", text) or quote and len(text) > 2 else "mark")
+            out.append((text, at, "word" if WORDY(text) or quote and len(text) > 2 else "mark", bool(quote)))
             continue
-        add(text, at, kind)
+        out.append((text, at, kind, bool(quote)))
     return out
 
 
@@ -222,6 +224,10 @@ def kind_of_call(call: str) -> tuple[bool, bool, bool]:
     return bool(re.search(r"login|sign_?in|auth|connect|credential", last)), reads, last == "get"
 
 
+NOTHING = ("", 0, "", False)
+ISNAME, VALUED = frozenset(["=", ":", "(", "[", "."]), frozenset(["=", ":", ">"])
+
+
 def groups(tokens: list[tuple[str, int, str, bool]]) -> Iterator[list[tuple]]:
     """For every token of a line the groups of features that it has; spelled() names the features of a group."""
     for i, (text, _, kind, quoted) in enumerate(tokens):
@@ -233,18 +239,22 @@ def groups(tokens: list[tuple[str, int, str, bool]]) -> Iterator[list[tuple]]:
             continue
         name, how, call, arg = context(tokens, i)
         nk = kind_of_name(name) if name else "no"
-        left = [x[0].lower() for x in tokens[max(0, i - 3) : i] if x[2] != "quote"]
+        near = tokens[i - 1] if i else NOTHING
+        if near[2] == "quote":
+            near = next((x for x in tokens[max(0, i - 3) : i][::-1] if x[2] != "quote"), NOTHING)
+        before = near[0]
         right = next((x[0] for x in tokens[i + 1 : i + 4] if x[2] != "quote"), "")
-        is_name = right in ("=", ":", "(", "[", ".") and right != "" and not (right == ":" and left[-1:] == ["-u"])
-        g: list[tuple] = [("own", text, quoted, is_name), ("name", text, nk, how, quoted or how in ("=", ":", ">"))]
-        before = left[-1] if left else ""
-        if before in ("bearer", "basic", "token"):
+        # the password in `-u name:password`, which ends no name
+        user = before == ":" and [x[0] for x in tokens[max(0, i - 3) : i] if x[2] != "quote"][-3:-2] in (["-u"], ["--user"])
+        is_name = right in ISNAME and not (right == ":" and before == "-u")
+        g: list[tuple] = [("own", text, quoted, is_name), ("name", text, nk, how, quoted or how in VALUED)]
+        if near[2] == "word" and before.lower() in ("bearer", "basic", "token"):
             g.append(("scheme", text))
         if right == "@" and before == ":":
             g.append(("login", text))
         elif right == "@" or before == "@":
             g.append(("host",))
-        if before == ":" and len(left) >= 3 and left[-3] in ("-u", "--user"):
+        if user:
             g.append(("u", text))
         if before == "/" and any(re.search(r"login|account|cred", x[0].lower()) for x in tokens[max(0, i - 5) : i]):
             g.append(("slash", text))
@@ -514,12 +524,18 @@ class Finder:
         emit = chain.emit.tolist()
         self.group = lru_cache(maxsize=400_000)(lambda g: sum([emit[hashed(f)] for f in spelled(g)]))
         self.line = lru_cache(maxsize=200_000)(self._line)
+        s00, s01, s10, s11 = chain.steps
+        #: Where no token scores more, no run of label 1 scores above label 0 throughout, whatever its length.
+        self.least = -(s11 - s00) - max(0.0, s01 + s10 - s11 - s00)
 
     def _line(self, head: str, line: str) -> tuple[tuple[int, int], ...]:
         """Spans in line; head is what it continues, or empty."""
         t = lex(head + line)
         group = self.group
-        labels = self.chain.best([sum(map(group, g)) for g in groups(t)])
+        scores = [sum(map(group, g)) for g in groups(t)]
+        if max(scores, default=0.0) <= self.least:
+            return ()
+        labels = self.chain.best(scores)
         spans: list[tuple[int, int]] = []
         for (text, at, kind, _), y in zip(t, labels, strict=True):
             at -= len(head)
