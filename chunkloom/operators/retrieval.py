@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions import paths, text, vectors
+from chunkloom.operators import blocks
 from chunkloom.session import cut
 
 K1, B = 1.2, 0.75
@@ -43,6 +44,10 @@ def corpus_stats(documents: DataFrame) -> DataFrame:
     return d.groupBy("repo_id").agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("mean_length"))
 
 
+def idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
 def bm25(queries: DataFrame, documents: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, repo_id, doc_id, score) of every document of the query's repository with a positive score.
 
@@ -63,9 +68,9 @@ def bm25(queries: DataFrame, documents: DataFrame, k1: float = K1, b: float = B)
     stats = kept.filter("term = ''").groupBy("repo_id").agg(F.sum("tf").alias("n"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("mean_length"))
     tf = kept.filter("term <> ''")
     df = tf.groupBy("repo_id", "term").agg(F.count("*").alias("df"))
-    idf = df.join(stats, "repo_id").select("repo_id", "term", "mean_length", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weights = df.join(stats, "repo_id").select("repo_id", "term", "mean_length", idf(F.col("n"), F.col("df")).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    weighed = tf.join(idf, ["repo_id", "term"]).select("repo_id", "term", "doc_id", part.alias("part"))
+    weighed = tf.join(weights, ["repo_id", "term"]).select("repo_id", "term", "doc_id", part.alias("part"))
     scores = weighed.join(asked, ["repo_id", "term"]).groupBy("query_id", "repo_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
     return scores.filter("score > 0")
 
@@ -83,9 +88,20 @@ def chunk_documents(chunks: DataFrame) -> DataFrame:
 
 
 def sparse_search(queries: DataFrame, chunks: DataFrame, limit: int = POOL) -> DataFrame:
-    """(query_id, id, repo_id, file_path, start_line, sparse_score, rank): the best chunks by BM25; ties by file, line and id."""
-    scores = bm25(queries, chunk_documents(chunks)).withColumnsRenamed({"doc_id": "id", "score": "sparse_score"}).drop("repo_id")
-    rows = scores.join(one_per_id(chunks, "repo_id", "file_path", "start_line"), "id")
+    """(query_id, id, repo_id, file_path, start_line, sparse_score, rank): the best chunks by BM25; ties by file, line and id.
+
+    Scores are those of bm25(). Each text is shuffled once, to be one a chunk, and counted where it arrives; what goes on
+    are the counts of terms that may be asked for, which meet the queries of their repository in blocks.
+    """
+    asked = cut(queries.filter("repo_id is not null").select("query_id", "repo_id", F.explode(text.query_terms(F.coalesce("text", F.lit("")))).alias("term")))
+    c = one_per_id(chunks, "repo_id", "symbol_name", "file_path", "signature", "content", "start_line").filter("repo_id is not null")
+    c = c.select("id", "repo_id", "file_path", "start_line", text.document_text(*[F.col(x) for x in ("symbol_name", "file_path", "signature", "content")]).alias("text"))
+    d = cut(blocks.counted(c, asked))
+    stats = d.groupBy("repo_id").agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("mean_length"))
+    some = d.filter("terms <> ''")
+    df = some.select("repo_id", F.explode(F.split("terms", " ")).alias("term")).groupBy("repo_id", "term").agg(F.count("*").alias("df"))
+    weighed = asked.join(df, ["repo_id", "term"]).join(stats, "repo_id").select("query_id", "repo_id", "term", "mean_length", idf(F.col("n"), F.col("df")).alias("idf"))
+    rows = blocks.meet(some, weighed, stats, "sparse_score", blocks.best_by_terms(limit, K1, B))
     return ranked(rows, [F.desc("sparse_score"), F.asc("file_path"), F.asc("start_line"), F.asc("id")], limit)
 
 
