@@ -23,6 +23,8 @@ from chunkloom.functions import text
 BLOCK = 16_384
 #: Bits of a sieve, and of one row of it.
 SIEVE, BITMAP = 1 << 22, 1 << 15
+#: Queries that meet a block at once.
+SLICE = 64
 #: Tokens of so many words are remembered by a task.
 WORDS = 500_000
 DIGITS = 9
@@ -112,15 +114,15 @@ def in_blocks(rows: DataFrame, queries: DataFrame, counts: DataFrame) -> tuple[D
 def meet(rows: DataFrame, queries: DataFrame, counts: DataFrame, name: str, best) -> DataFrame:
     """(query_id, id, repo_id, file_path, start_line, name) of what best(rows, queries) keeps of each block.
 
-    best takes two tables and returns places in the queries, places in the rows and scores, each as an array.
+    best takes two tables and returns the rows that may be kept, and places in the queries, places in those rows and
+    scores, each as an array.
     """
     r, q = in_blocks(rows.filter("repo_id is not null"), queries.filter("repo_id is not null"), counts)
     columns = ("id", "repo_id", "file_path", "start_line")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        some = left.num_rows and right.num_rows
-        at_query, at_row, scores = best(left, right) if some else ([], [], [])
-        own = left.select(columns).take(pa.array(at_row, pa.int64()))
+        own, at_query, at_row, scores = best(left, right) if left.num_rows and right.num_rows else (left, [], [], [])
+        own = own.select(columns).take(pa.array(at_row, pa.int64()))
         asked = right["query_id"].take(pa.array(at_query, pa.int64()))
         return pa.Table.from_arrays([asked, *own.columns, pa.chunked_array([pa.array(scores, pa.float64())])], ["query_id", *columns, name])
 
@@ -149,9 +151,9 @@ def stacked(found: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray
 def best_by_terms(limit: int, k1: float, b: float):
     """The best of a block by BM25; ties by file, line and id. queries: (query_id, term, idf, mean_length), a row a term."""
 
-    def best(rows: pa.Table, queries: pa.Table) -> tuple:
-        places = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("file_path", "start_line", "id")], null_placement="at_start")
-        rows = rows.select(["length", "terms", "tfs"]).take(places).combine_chunks()
+    def best(whole: pa.Table, queries: pa.Table) -> tuple:
+        places = pc.sort_indices(whole, sort_keys=[(c, "ascending") for c in ("file_path", "start_line", "id")], null_placement="at_start")
+        rows = whole.select(["length", "terms", "tfs"]).take(places).combine_chunks()
         lists = pc.split_pattern(rows["terms"], " ").combine_chunks()
         asked = pc.unique(queries["term"])
         term = pc.index_in(lists.flatten(), value_set=asked)
@@ -178,6 +180,37 @@ def best_by_terms(limit: int, k1: float, b: float):
             good = value > 0
             found.append((own[0], some[at[good]], value[good]))
         q, at, value = stacked(found)
-        return q, places.to_numpy()[at], value
+        return whole, q, places.to_numpy()[at], value
+
+    return best
+
+
+def best_by_cosine(limit: int):
+    """The nearest of a block by cosine; ties by id. An id counts once, with the nearest of its vectors and the last file and line.
+
+    queries: (query_id, vector) of length 1.
+    """
+
+    def numbers(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        return flat.flatten().to_numpy().astype(float).reshape(len(flat), -1)
+
+    def best(rows: pa.Table, queries: pa.Table) -> tuple:
+        places = {c: pc.sort_indices(rows, sort_keys=[("id", "ascending"), (c, "descending")]).to_numpy() for c in ("file_path", "start_line")}
+        ids = rows["id"].take(pa.array(places["file_path"])).combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1))
+        once = {c: rows[c].take(pa.array(places.get(c, places["file_path"])[starts])) for c in ("id", "repo_id", "file_path", "start_line")}
+        vectors = numbers(rows["embedding"])[places["file_path"]]
+        with np.errstate(invalid="ignore"):  # as for infinite numbers
+            vectors /= np.sqrt((vectors * vectors).sum(1))[:, None]
+            asked = numbers(queries["vector"])
+            found = []
+            for a in range(0, len(asked), SLICE):
+                scores = asked[a : a + SLICE] @ vectors.T
+                if len(starts) < len(ids):
+                    scores = np.maximum.reduceat(scores, starts, 1)
+                found += [(a + i, *first(s, limit)) for i, s in enumerate(scores)]
+        q, at, value = stacked(found)
+        return pa.table(once), q, at, value
 
     return best

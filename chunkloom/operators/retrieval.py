@@ -18,8 +18,6 @@ from chunkloom.session import cut
 K1, B = 1.2, 0.75
 #: Both lists are cut to so many before they are merged; so many go to a reranker.
 POOL, RERANK_POOL = 50, 16
-#: Parts in which the chunks of a repository meet its queries.
-PARTS = 8
 RRF_K, DENSE_WEIGHT, SPARSE_WEIGHT = 60, 2.0, 1.0
 #: Scores are rounded before they are compared, so that the order of a sum does not decide ties.
 DIGITS = 9
@@ -108,18 +106,15 @@ def sparse_search(queries: DataFrame, chunks: DataFrame, limit: int = POOL) -> D
 def dense_search(queries: DataFrame, chunks: DataFrame, dim: int, limit: int = POOL) -> DataFrame:
     """(query_id, id, repo_id, file_path, start_line, dense_score, rank): the chunks nearest by cosine, exactly; ties by id.
 
-    An id counts once, with the nearest of its vectors where it came with several, before anything is scored, so each
-    pair of query and chunk is one row that the limit cuts on the map side. A repository is met in PARTS parts, so that a
-    large one is no single task. queries: (query_id, repo_id, vector). Vectors that are null, of another length or all zero take no part; a query
+    An id counts once, with the nearest of its vectors and the last of its places where it came with several. Each
+    vector is shuffled once, to the block of its repository in which it meets all queries, of which the best go on.
+    queries: (query_id, repo_id, vector). Vectors that are null, of another length or all zero take no part; a query
     with such a vector finds nothing.
     """
     c = chunks.filter(vectors.is_valid(F.col("embedding"), dim) & F.col("id").isNotNull()).select("id", "repo_id", "file_path", "start_line", "embedding")
     q = queries.filter(vectors.is_valid(F.col("vector"), dim)).select("query_id", "repo_id", vectors.unit(F.col("vector")).alias("vector"))
-    c = c.groupBy("id", "repo_id").agg(F.max("file_path").alias("file_path"), F.max("start_line").alias("start_line"), F.transform(F.collect_set("embedding"), vectors.unit).alias("vectors"))
-    c = c.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    best = F.array_max(F.transform("vectors", lambda v: vectors.dot(v, F.col("vector"))))
-    scores = c.join(q, ["repo_id", "part"]).select("query_id", "id", "repo_id", "file_path", "start_line", F.round(best, DIGITS).alias("dense_score"))
+    counts = chunks.filter("repo_id is not null").groupBy("repo_id").agg(F.count("*").alias("n"))
+    scores = blocks.meet(c, q, counts, "dense_score", blocks.best_by_cosine(limit))
     return ranked(scores, [F.desc("dense_score"), F.asc("id")], limit)
 
 

@@ -6,23 +6,23 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunkloom import schemas
-from chunkloom.functions import text
+from chunkloom.functions import text, vectors
 from chunkloom.operators import blocks, retrieval
 
 WORDS = "flush_queue HTTPServer2 where does queueFlusher2x naïve_Straße Ünï validate token 队列 ΣΟΦΟΣ x1y2 __init__ Queue 3d".split()
 
 
-def written(spark, run):
-    """What run() returns, and the bytes that it left in files of shuffles."""
-    size = lambda: sum(f.length() for f in files() if f.getName().endswith(".data"))
-    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+def written(spark, df):
+    """The rows of df, and the bytes that its shuffles wrote."""
+    sc = spark.sparkContext
 
-    def files():
-        found = manager.getAllFiles()
-        return [found.apply(i) for i in range(found.size())]
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
-    before = size()
-    return run(), size() - before
+    before = total()
+    return df.collect(), total() - before
 
 
 def chunks(spark, n, repos=2, dim=4):
@@ -65,5 +65,30 @@ def test_sparse_search_is_bm25(spark, monkeypatch, size):
 def test_sparse_search_writes_no_pairs(spark):
     c = spark.createDataFrame([(f"c{i:04}", "r", f"{i}.py", "function", None, "f", "", i, i, [], f"where does the queue {i}", None) for i in range(1500)], schemas.CHUNKS)
     q = spark.createDataFrame([(f"q{i:03}", "r", f"where does the queue {i}") for i in range(400)], "query_id string, repo_id string, text string")
-    got, size = written(spark, lambda: retrieval.sparse_search(q, c, 3).collect())
-    assert len(got) == 1200 and size < 1_000_000  # of 600,000 pairs
+    got, size = written(spark, retrieval.sparse_search(q, c, 3))
+    assert len(got) == 1200 and size < 300_000  # of 600,000 pairs
+
+
+@pytest.mark.parametrize("size", [8, 16_384])
+def test_dense_search_is_cosine_of_all_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(blocks, "BLOCK", size)
+    c = chunks(spark, 150).cache()
+    moved = c.filter("start_line = 1").withColumns({"start_line": F.lit(7), "file_path": F.lit("0.py")})
+    c = c.unionByName(moved)
+    r = random.Random(8)
+    q = spark.createDataFrame([(f"q{i}", f"r{i % 2}", [float(r.randint(-2, 2)) for _ in range(4 if i % 5 else 3)]) for i in range(30)] + [("null", None, [1.0] * 4)], "query_id string, repo_id string, vector array<double>").cache()
+    valid = c.filter(vectors.is_valid(F.col("embedding"), 4)).groupBy("id", "repo_id").agg(F.max("file_path").alias("file_path"), F.max("start_line").alias("start_line"), F.collect_list("embedding").alias("all"))
+    usable = q.filter(vectors.is_valid(F.col("vector"), 4))
+    score = F.round(F.array_max(F.transform("all", lambda v: vectors.cosine(v, F.col("vector")))), 9)
+    want = retrieval.ranked(valid.join(usable, "repo_id").withColumn("dense_score", score), [F.desc("dense_score"), F.asc("id")], 10)
+    columns = ("query_id", "id", "repo_id", "file_path", "start_line", "dense_score", "rank")
+    got = retrieval.dense_search(q, c, 4, 10).select(*columns).collect()
+    assert {(*x,) for x in got} == {(*x,) for x in want.select(*columns).collect()} and len(got) > 200
+
+
+def test_hybrid_search_writes_no_pairs(spark):
+    r = random.Random(9)
+    c = spark.createDataFrame([(f"c{i:04}", "r", f"{i}.py", "function", None, "f", "", i, i, [], f"where does the queue {i}", [r.gauss(0, 1) for _ in range(8)]) for i in range(1500)], schemas.CHUNKS)
+    q = spark.createDataFrame([(f"q{i:03}", "r", f"where does the queue {i}", [r.gauss(0, 1) for _ in range(8)]) for i in range(400)], "query_id string, repo_id string, text string, vector array<double>")
+    got, size = written(spark, retrieval.fuse(retrieval.sparse_search(q, c, 3), retrieval.dense_search(q, c, 8, 3)))
+    assert len(got) >= 1200 and size < 1_000_000  # of 600,000 pairs of each kind
