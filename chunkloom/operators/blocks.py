@@ -16,13 +16,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from chunkloom.functions import text
 
 #: Chunks in a block, on average.
-BLOCK = 16_384
+BLOCK = 65_536
+#: Numbers of a vector that count as one chunk.
+WIDTH = 64
 #: Bits of a sieve, and of one row of it.
-SIEVE, BITMAP = 1 << 22, 1 << 15
+SIEVE, BITMAP = 1 << 24, 1 << 15
 #: Queries that meet a block at once.
 SLICE = 64
 #: Tokens of so many words are remembered by a task.
@@ -62,21 +66,24 @@ def counted(documents: DataFrame, asked: DataFrame) -> DataFrame:
     left out. Terms are joined by blanks, as no token has one. Words of ASCII texts are cut once a task each, by the
     rules of text.tokenize; other texts go through text.tokenize itself.
     """
-    bits = documents.sparkSession.sparkContext.broadcast(sieve(asked.select("term").union(asked.select(F.concat(F.lit("\n"), "repo_id")))))  # SIEVE / 8 bytes
+    marks = asked.select("term").union(asked.select(F.concat(F.lit("\n"), "repo_id"))).union(asked.select(F.concat("repo_id", F.lit("\n"), "term")))
+    bits = documents.sparkSession.sparkContext.broadcast(sieve(marks))  # SIEVE / 8 bytes
     plain = F.octet_length("text") == F.length("text")
     d = documents.withColumn("tokens", F.when(~plain, text.tokenize(F.col("text")))).withColumn("text", F.when(plain, F.col("text")))
     rest = [c for c in documents.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asks = bits.value
-        repos: dict[str, bool] = {}
+        repos: dict[str, dict[str, bool] | None] = {}  # the terms met in it, and whether they may be asked for there
         words: dict[str, tuple[int, list[str]]] = {}
+        met = 0
         for b in batches:
             rows, lengths, terms, tfs = [], [], [], []
             for i, (repo, whole, tokens) in enumerate(zip(*[b.column(c).to_pylist() for c in ("repo_id", "text", "tokens")], strict=True)):
                 if repo not in repos:
-                    repos[repo] = passes(asks, f"\n{repo}")
-                if not repos[repo]:
+                    repos[repo] = {} if passes(asks, f"\n{repo}") else None
+                pairs = repos[repo]
+                if pairs is None:
                     continue
                 n, tf = 0, {}
                 if tokens is None:
@@ -91,7 +98,13 @@ def counted(documents: DataFrame, asked: DataFrame) -> DataFrame:
                         for t in known[1]:
                             tf[t] = tf.get(t, 0) + times
                 else:
-                    n, tf = len(tokens), {t: k for t, k in Counter(tokens).items() if passes(asks, t)}
+                    n, tf = len(tokens), Counter(tokens)
+                for t in [t for t in tf if t not in pairs]:
+                    pairs[t] = passes(asks, f"{repo}\n{t}")
+                    met += 1
+                tf = {t: k for t, k in tf.items() if pairs[t]}
+                if met > WORDS:
+                    repos, met = {}, 0
                 rows.append(i)
                 lengths.append(n)
                 terms.append(" ".join(tf))
@@ -103,32 +116,70 @@ def counted(documents: DataFrame, asked: DataFrame) -> DataFrame:
     return d.mapInArrow(run, ", ".join([*fields, "length int", "terms string", "tfs array<int>"]))
 
 
-def in_blocks(rows: DataFrame, queries: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (id, repo_id, …) and queries (repo_id, …) with the column part; counts: (repo_id, n). A query meets every part."""
-    parts = counts.select("repo_id", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    heavy = F.broadcast(parts.filter("parts > 1"))  # at most one row for BLOCK chunks
-    r = rows.join(heavy, "repo_id", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    return r, queries.join(parts, "repo_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+def in_blocks(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows (id, repo_id, …) with the column part; counts: (repo_id, n)."""
+    heavy = F.broadcast(parts_of(counts).filter("parts > 1"))  # at most one row for BLOCK chunks
+    return rows.join(heavy, "repo_id", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
 
 
-def meet(rows: DataFrame, queries: DataFrame, counts: DataFrame, name: str, best) -> DataFrame:
+def parts_of(counts: DataFrame) -> DataFrame:
+    return counts.select("repo_id", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+
+
+COLUMNS = ("id", "repo_id", "file_path", "start_line")
+#: What packed() keeps of a block: one row, of which body has the documents with a term.
+PACKED = "repo_id string, part int, n bigint, length bigint, terms array<string>, dfs array<int>, body binary"
+
+
+def pack(block: pa.Table) -> pa.Table:
+    """A block as one row: documents and their length in all, how many have each term, and those with a term by file, line and id."""
+    some = block.filter(pc.not_equal(block["terms"], ""))
+    some = some.take(pc.sort_indices(some, sort_keys=[(c, "ascending") for c in ("file_path", "start_line", "id")], null_placement="at_start")).combine_chunks()
+    lists = pc.split_pattern(some["terms"], " ").combine_chunks() if some.num_rows else pa.array([], pa.list_(pa.string()))
+    coded = lists.flatten().dictionary_encode()
+    dfs = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).astype(np.int32)
+    tfs = some["tfs"].combine_chunks().flatten() if some.num_rows else pa.array([], pa.int32())
+    docs = pa.table({c: some[c] for c in ("id", "file_path", "start_line", "length")} | {"size": pc.list_value_length(lists)})
+    sink = pa.BufferOutputStream()
+    for t in (docs, pa.table({"term": coded.indices, "tf": tfs})):
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(t)
+    row = {"repo_id": block["repo_id"][0].as_py(), "part": block["part"][0].as_py(), "n": block.num_rows, "length": pc.sum(block["length"]).as_py(), "terms": coded.dictionary.to_pylist(), "dfs": dfs.tolist(), "body": sink.getvalue().to_pybytes()}
+    kinds = {"repo_id": pa.string(), "part": pa.int32(), "n": pa.int64(), "length": pa.int64(), "terms": pa.list_(pa.string()), "dfs": pa.list_(pa.int32()), "body": pa.binary()}
+    return pa.table({k: pa.array([row[k]], kind) for k, kind in kinds.items()})
+
+
+def unpacked(body: bytes) -> tuple[pa.Table, pa.Table]:
+    """(documents, their terms): what pack() put in."""
+    source = pa.BufferReader(body)
+    return pa.ipc.open_stream(source).read_all(), pa.ipc.open_stream(source).read_all()
+
+
+def packed(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """PACKED: the documents of counted() with a repository, a row a block."""
+    return in_blocks(rows.filter("repo_id is not null"), counts).groupBy("repo_id", "part").applyInArrow(pack, PACKED)
+
+
+def meet(rows: DataFrame, queries: DataFrame, counts: DataFrame, kinds: list[tuple[str, DataType]], name: str, best) -> DataFrame:
     """(query_id, id, repo_id, file_path, start_line, name) of what best(rows, queries) keeps of each block.
 
-    best takes two tables and returns the rows that may be kept, and places in the queries, places in those rows and
-    scores, each as an array.
+    rows: (repo_id, part, …), as of in_blocks() or packed(); a query meets every part. kinds: the types of the columns
+    but the last. best takes two tables and returns the rows that may be kept, and places in the queries, places in
+    those rows and scores, each as an array.
     """
-    r, q = in_blocks(rows.filter("repo_id is not null"), queries.filter("repo_id is not null"), counts)
-    columns = ("id", "repo_id", "file_path", "start_line")
+    q = queries.filter("repo_id is not null").join(parts_of(counts), "repo_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, at_query, at_row, scores = best(left, right) if left.num_rows and right.num_rows else (left, [], [], [])
-        own = own.select(columns).take(pa.array(at_row, pa.int64()))
+        if not left.num_rows or not right.num_rows:
+            return empty
+        own, at_query, at_row, scores = best(left, right)
+        own = own.select(COLUMNS).take(pa.array(at_row, pa.int64()))
         asked = right["query_id"].take(pa.array(at_query, pa.int64()))
-        return pa.Table.from_arrays([asked, *own.columns, pa.chunked_array([pa.array(scores, pa.float64())])], ["query_id", *columns, name])
+        return pa.Table.from_arrays([asked, *own.columns, pa.chunked_array([pa.array(scores, pa.float64())])], ["query_id", *COLUMNS, name])
 
-    kinds = [("query_id", queries.schema["query_id"]), *[(c, rows.schema[c]) for c in columns]]
-    schema = ", ".join([*[f"{c} {f.dataType.simpleString()}" for c, f in kinds], f"{name} double"])
-    return r.groupBy("repo_id", "part").cogroup(q.groupBy("repo_id", "part")).applyInArrow(run, schema)
+    empty = to_arrow_schema(StructType([StructField(c, t) for c, t in kinds] + [StructField(name, DoubleType())])).empty_table()
+    schema = ", ".join([*[f"{c} {t.simpleString()}" for c, t in kinds], f"{name} double"])
+    return rows.groupBy("repo_id", "part").cogroup(q.groupBy("repo_id", "part")).applyInArrow(run, schema)
 
 
 def first(scores: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,19 +200,20 @@ def stacked(found: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray
 
 
 def best_by_terms(limit: int, k1: float, b: float):
-    """The best of a block by BM25; ties by file, line and id. queries: (query_id, term, idf, mean_length), a row a term."""
+    """The best of a block of packed() by BM25; ties by file, line and id. queries: (query_id, term, idf, mean_length), a row a term."""
 
-    def best(whole: pa.Table, queries: pa.Table) -> tuple:
-        places = pc.sort_indices(whole, sort_keys=[(c, "ascending") for c in ("file_path", "start_line", "id")], null_placement="at_start")
-        rows = whole.select(["length", "terms", "tfs"]).take(places).combine_chunks()
-        lists = pc.split_pattern(rows["terms"], " ").combine_chunks()
+    def best(block: pa.Table, queries: pa.Table) -> tuple:
+        docs, held = unpacked(block["body"][0].as_py())
+        docs = docs.append_column("repo_id", pc.take(block["repo_id"], pa.array(np.zeros(docs.num_rows, np.int64))))
         asked = pc.unique(queries["term"])
-        term = pc.index_in(lists.flatten(), value_set=asked)
-        kept = np.flatnonzero(term.is_valid().to_numpy(zero_copy_only=False))
-        term = term.take(pa.array(kept)).to_numpy().astype(np.int64)
-        row = lists.value_parent_indices().to_numpy()[kept].astype(np.int64)
-        tf = rows["tfs"].combine_chunks().flatten().to_numpy()[kept].astype(float)
-        length, mean = rows["length"].to_numpy().astype(float), queries["mean_length"][0].as_py()
+        known = pc.index_in(block["terms"].combine_chunks().flatten(), value_set=asked)
+        known = pc.fill_null(known, -1).to_numpy().astype(np.int64)
+        term = known[held["term"].to_numpy()]
+        kept = np.flatnonzero(term >= 0)
+        term = term[kept]
+        row = np.repeat(np.arange(docs.num_rows), docs["size"].to_numpy())[kept]
+        tf = held["tf"].to_numpy()[kept].astype(float)
+        length, mean = docs["length"].to_numpy().astype(float), queries["mean_length"][0].as_py()
         part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean))
         order = np.argsort(term, kind="stable")
         row, part, starts = row[order], part[order], np.searchsorted(term[order], np.arange(len(asked) + 1))
@@ -180,7 +232,7 @@ def best_by_terms(limit: int, k1: float, b: float):
             good = value > 0
             found.append((own[0], some[at[good]], value[good]))
         q, at, value = stacked(found)
-        return whole, q, places.to_numpy()[at], value
+        return docs, q, at, value
 
     return best
 
@@ -203,14 +255,14 @@ def best_by_cosine(limit: int):
         vectors = numbers(rows["embedding"])[places["file_path"]]
         with np.errstate(invalid="ignore"):  # as for infinite numbers
             vectors /= np.sqrt((vectors * vectors).sum(1))[:, None]
-            asked = numbers(queries["vector"])
+            asked, of = np.unique(numbers(queries["vector"]), axis=0, return_inverse=True)  # equal ones are compared once
             found = []
             for a in range(0, len(asked), SLICE):
                 scores = asked[a : a + SLICE] @ vectors.T
                 if len(starts) < len(ids):
                     scores = np.maximum.reduceat(scores, starts, 1)
                 found += [(a + i, *first(s, limit)) for i, s in enumerate(scores)]
-        q, at, value = stacked(found)
+        q, at, value = stacked([(i, *found[u][1:]) for i, u in enumerate(of.ravel())])
         return pa.table(once), q, at, value
 
     return best

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions import paths, text, vectors
-from chunkloom.operators import blocks
-from chunkloom.session import cut
+from chunkloom.operators import blocks, sieves
+from chunkloom.session import cut, spread
 
 K1, B = 1.2, 0.75
 #: Both lists are cut to so many before they are merged; so many go to a reranker.
@@ -85,24 +85,54 @@ def chunk_documents(chunks: DataFrame) -> DataFrame:
     return c.select("repo_id", F.col("id").alias("doc_id"), text.document_text(*[F.col(x) for x in ("symbol_name", "file_path", "signature", "content")]).alias("text"))
 
 
-def sparse_search(queries: DataFrame, chunks: DataFrame, limit: int = POOL) -> DataFrame:
-    """(query_id, id, repo_id, file_path, start_line, sparse_score, rank): the best chunks by BM25; ties by file, line and id.
+def texts_in_place(chunks: DataFrame) -> DataFrame:
+    """(id, repo_id, file_path, start_line, text): the text of each chunk once, as of one_per_id().
 
-    Scores are those of bm25(). Each text is shuffled once, to be one a chunk, and counted where it arrives; what goes on
-    are the counts of terms that may be asked for, which meet the queries of their repository in blocks.
+    Only chunks whose id may have come more than once are shuffled, by a sieve of such ids.
     """
+    columns = ("repo_id", "symbol_name", "file_path", "signature", "content", "start_line")
+    c = spread(chunks.select("id", *columns).filter("id is not null"), "id")
+    c = sieves.marked(c, sieves.repeated(chunks, "id"), "again", "id")
+    c = c.filter("not again").select("id", *columns).unionByName(one_per_id(c.filter("again"), *columns).select("id", *columns))
+    return c.filter("repo_id is not null").select("id", "repo_id", "file_path", "start_line", text.document_text(*[F.col(x) for x in ("symbol_name", "file_path", "signature", "content")]).alias("text"))
+
+
+def counts_of(chunks: DataFrame) -> DataFrame:
+    return chunks.filter("repo_id is not null").groupBy("repo_id").agg(F.count("*").alias("n"))
+
+
+def sparse_candidates(queries: DataFrame, chunks: DataFrame, limit: int = POOL) -> DataFrame:
+    """sparse_search() without places: the best chunks of each block, and so at least the best of all."""
     asked = cut(queries.filter("repo_id is not null").select("query_id", "repo_id", F.explode(text.query_terms(F.coalesce("text", F.lit("")))).alias("term")))
-    c = one_per_id(chunks, "repo_id", "symbol_name", "file_path", "signature", "content", "start_line").filter("repo_id is not null")
-    c = c.select("id", "repo_id", "file_path", "start_line", text.document_text(*[F.col(x) for x in ("symbol_name", "file_path", "signature", "content")]).alias("text"))
-    d = cut(blocks.counted(c, asked))
-    stats = d.groupBy("repo_id").agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("mean_length"))
-    some = d.filter("terms <> ''")
-    df = some.select("repo_id", F.explode(F.split("terms", " ")).alias("term")).groupBy("repo_id", "term").agg(F.count("*").alias("df"))
+    counts = counts_of(chunks)
+    d = cut(blocks.packed(blocks.counted(texts_in_place(chunks), asked), counts))
+    stats = d.groupBy("repo_id").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("mean_length"))
+    each = d.select("repo_id", F.explode(F.arrays_zip("terms", "dfs")).alias("x"))
+    df = each.groupBy("repo_id", F.col("x.terms").alias("term")).agg(F.sum("x.dfs").alias("df"))
     weighed = asked.join(df, ["repo_id", "term"]).join(stats, "repo_id").select("query_id", "repo_id", "term", "mean_length", idf(F.col("n"), F.col("df")).alias("idf"))
-    rows = blocks.meet(some, weighed, stats, "sparse_score", blocks.best_by_terms(limit, K1, B))
+    kinds = [("query_id", queries.schema["query_id"].dataType), *[(c, chunks.schema[c].dataType) for c in blocks.COLUMNS]]
+    return blocks.meet(d.filter("size(terms) > 0").select("repo_id", "part", "terms", "body"), weighed, counts, kinds, "sparse_score", blocks.best_by_terms(limit, K1, B))
+
+
+def sparse_search(queries: DataFrame, chunks: DataFrame, limit: int = POOL) -> DataFrame:
+    """(query_id, id, repo_id, file_path, start_line, sparse_score, rank): the best chunks by BM25; ties by file, line and id.
+
+    Scores are those of bm25(). A text is counted where it lies, unless its id came more than once; what goes on are the
+    counts of terms that may be asked for in its repository, packed into blocks which meet the queries of the repository.
+    """
+    rows = sparse_candidates(queries, chunks, limit)
     return ranked(rows, [F.desc("sparse_score"), F.asc("file_path"), F.asc("start_line"), F.asc("id")], limit)
 
 
+def dense_candidates(queries: DataFrame, chunks: DataFrame, dim: int, limit: int = POOL) -> DataFrame:
+    """dense_search() without places: the nearest chunks of each block, and so at least the nearest of all."""
+    c = chunks.filter(vectors.is_valid(F.col("embedding"), dim) & F.col("id").isNotNull() & F.col("repo_id").isNotNull()).select("id", "repo_id", "file_path", "start_line", "embedding")
+    q = queries.filter(vectors.is_valid(F.col("vector"), dim)).select("query_id", "repo_id", vectors.unit(F.col("vector")).alias("vector"))
+    counts = counts_of(chunks).withColumn("n", F.col("n") * -(-dim // blocks.WIDTH))
+    kinds = [("query_id", queries.schema["query_id"].dataType), *[(x, chunks.schema[x].dataType) for x in blocks.COLUMNS]]
+    return blocks.meet(blocks.in_blocks(c, counts), q, counts, kinds, "dense_score", blocks.best_by_cosine(limit))
+
+
 def dense_search(queries: DataFrame, chunks: DataFrame, dim: int, limit: int = POOL) -> DataFrame:
     """(query_id, id, repo_id, file_path, start_line, dense_score, rank): the chunks nearest by cosine, exactly; ties by id.
 
@@ -111,11 +141,10 @@ def dense_search(queries: DataFrame, chunks: DataFrame, dim: int, limit: int = P
     queries: (query_id, repo_id, vector). Vectors that are null, of another length or all zero take no part; a query
     with such a vector finds nothing.
     """
-    c = chunks.filter(vectors.is_valid(F.col("embedding"), dim) & F.col("id").isNotNull()).select("id", "repo_id", "file_path", "start_line", "embedding")
-    q = queries.filter(vectors.is_valid(F.col("vector"), dim)).select("query_id", "repo_id", vectors.unit(F.col("vector")).alias("vector"))
-    counts = chunks.filter("repo_id is not null").groupBy("repo_id").agg(F.count("*").alias("n"))
-    scores = blocks.meet(c, q, counts, "dense_score", blocks.best_by_cosine(limit))
-    return ranked(scores, [F.desc("dense_score"), F.asc("id")], limit)
+    return ranked(dense_candidates(queries, chunks, dim, limit), [F.desc("dense_score"), F.asc("id")], limit)
+
+
+LISTED = ("query_id", "id", "repo_id", "file_path", "start_line")
 
 
 def fuse(sparse: DataFrame, dense: DataFrame, dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT) -> DataFrame:
@@ -124,21 +153,36 @@ def fuse(sparse: DataFrame, dense: DataFrame, dense_weight: float = DENSE_WEIGHT
     A chunk that a list lacks has score 0 there and gains nothing from it. Ties: dense, then sparse score, then file
     and line, all descending.
     """
-    s = sparse.select("query_id", "id", F.col("repo_id").alias("s_repo"), F.col("file_path").alias("s_path"), F.col("start_line").alias("s_line"), "sparse_score", F.col("rank").alias("s_rank"))
-    d = dense.select("query_id", "id", F.col("repo_id").alias("d_repo"), F.col("file_path").alias("d_path"), F.col("start_line").alias("d_line"), "dense_score", F.col("rank").alias("d_rank"))
-    both = s.join(d, ["query_id", "id"], "full_outer")
-    gain = F.coalesce(dense_weight / (RRF_K + F.col("d_rank")), F.lit(0.0)) + F.coalesce(sparse_weight / (RRF_K + F.col("s_rank")), F.lit(0.0))
-    rows = both.select(
-        "query_id",
-        "id",
-        F.coalesce("s_repo", "d_repo").alias("repo_id"),
-        F.coalesce("s_path", "d_path").alias("file_path"),
-        F.coalesce("s_line", "d_line").alias("start_line"),
-        F.coalesce("sparse_score", F.lit(0.0)).alias("sparse_score"),
-        F.coalesce("dense_score", F.lit(0.0)).alias("dense_score"),
-        F.round(gain, 12).alias("fused_score"),
+    rows = _both(sparse.withColumnRenamed("sparse_score", "score"), dense.withColumnRenamed("dense_score", "score"))
+    return _fused(rows, dense_weight, sparse_weight)
+
+
+def fuse_candidates(sparse: DataFrame, dense: DataFrame, limit: int = POOL, dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT) -> DataFrame:
+    """fuse() of the ranked lists of two searches, from their candidates: both kinds are shuffled once, to their query."""
+    rows = _both(sparse.withColumnRenamed("sparse_score", "score"), dense.withColumnRenamed("dense_score", "score"))
+    place = [F.when(F.col("sparse"), F.col(c)) for c in ("file_path", "start_line")]  # dense ties fall to the id alone
+    w = Window.partitionBy("query_id", "sparse").orderBy(F.desc("score"), *[c.asc() for c in place], F.asc("id"))
+    return _fused(rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit), dense_weight, sparse_weight)
+
+
+def _both(sparse: DataFrame, dense: DataFrame) -> DataFrame:
+    rows = sparse.withColumn("sparse", F.lit(True)).unionByName(dense.withColumn("sparse", F.lit(False)))
+    return rows.repartition("query_id")
+
+
+def _fused(rows: DataFrame, dense_weight: float, sparse_weight: float) -> DataFrame:
+    """rows: (…LISTED, sparse, score, rank), partitioned by query_id, as is all that follows."""
+    of = lambda c, sparse: F.max(F.when(F.col("sparse") == sparse, F.col(c)))
+    both = rows.groupBy("query_id", "id").agg(
+        *[F.coalesce(of(c, True), of(c, False)).alias(c) for c in LISTED[2:]],
+        F.coalesce(of("score", True), F.lit(0.0)).alias("sparse_score"),
+        F.coalesce(of("score", False), F.lit(0.0)).alias("dense_score"),
+        F.min(F.when(F.col("sparse"), F.col("rank"))).alias("s_rank"),
+        F.min(F.when(~F.col("sparse"), F.col("rank"))).alias("d_rank"),
     )
-    return ranked(rows, [F.desc(c) for c in ("fused_score", "dense_score", "sparse_score", "file_path", "start_line")] + [F.asc("id")])
+    gain = F.coalesce(dense_weight / (RRF_K + F.col("d_rank")), F.lit(0.0)) + F.coalesce(sparse_weight / (RRF_K + F.col("s_rank")), F.lit(0.0))
+    out = both.withColumn("fused_score", F.round(gain, 12)).drop("s_rank", "d_rank")
+    return ranked(out, [F.desc(c) for c in ("fused_score", "dense_score", "sparse_score", "file_path", "start_line")] + [F.asc("id")])
 
 
 def identity_score() -> Column:

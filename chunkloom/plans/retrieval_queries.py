@@ -61,7 +61,7 @@ def dense_batch(spark: SparkSession, d: str) -> DataFrame:
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks")
-    return R.fuse(R.sparse_search(_questions(spark, d), c), R.dense_search(_vectors(spark, d), c, DIM))
+    return R.fuse_candidates(R.sparse_candidates(_questions(spark, d), c), R.dense_candidates(_vectors(spark, d), c, DIM))
 
 
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:

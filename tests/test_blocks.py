@@ -92,3 +92,25 @@ def test_hybrid_search_writes_no_pairs(spark):
     q = spark.createDataFrame([(f"q{i:03}", "r", f"where does the queue {i}", [r.gauss(0, 1) for _ in range(8)]) for i in range(400)], "query_id string, repo_id string, text string, vector array<double>")
     got, size = written(spark, retrieval.fuse(retrieval.sparse_search(q, c, 3), retrieval.dense_search(q, c, 8, 3)))
     assert len(got) >= 1200 and size < 1_000_000  # of 600,000 pairs of each kind
+
+
+def test_sparse_search_leaves_texts_where_they_lie(spark):
+    r = random.Random(10)
+    rows = [(f"c{i:04}", "r", f"{i}.py", "function", None, "f", "", i, i, [], f"queue {i} " + "".join(r.choice("abcdefghij ") for _ in range(1000)), None) for i in range(1500)]
+    c = spark.createDataFrame(rows + rows[:9], schemas.CHUNKS)
+    q = spark.createDataFrame([(f"q{i:03}", "r", f"queue {i}") for i in range(5)], "query_id string, repo_id string, text string")
+    got, size = written(spark, retrieval.sparse_search(q, c, 3))
+    assert len(got) == 15 and size < 150_000  # of texts of 1.5 MB
+
+
+@pytest.mark.parametrize("size", [8, 16_384])
+def test_fused_candidates_are_fused_lists(spark, monkeypatch, size):
+    monkeypatch.setattr(blocks, "BLOCK", size)
+    c, q = chunks(spark, 150).cache(), questions(spark, 40).cache()
+    r = random.Random(11)
+    v = spark.createDataFrame([(f"q{i:03}", f"r{i % 2}", [float(r.randint(-1, 1)) for _ in range(4)]) for i in range(30)], "query_id string, repo_id string, vector array<double>").cache()
+    got = retrieval.fuse_candidates(retrieval.sparse_candidates(q, c, 10), retrieval.dense_candidates(v, c, 4, 10), 10)
+    want = retrieval.fuse(retrieval.sparse_search(q, c, 10), retrieval.dense_search(v, c, 4, 10))
+    columns = ("query_id", "id", "repo_id", "file_path", "start_line", "sparse_score", "dense_score", "fused_score", "rank")
+    rows = got.select(*columns).collect()
+    assert {(*x,) for x in rows} == {(*x,) for x in want.select(*columns).collect()} and len(rows) > 400
