@@ -9,15 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions import intents
 from chunkloom.functions.paths import is_about_tests
 from chunkloom.functions.text import is_chinese
-from chunkloom.operators import graph, history, lookup, retrieval
+from chunkloom.operators import graph, history, lookup, retrieval, sieves
+from chunkloom.session import cut
 
 MOST_STEPS, SEARCH_K, SEEDS = 14, 5, 3
+#: Places of a step in an answer, other than of the search.
+SHOWN = 5
 #: The tools that read the graph or the symbols of other files.
 GRAPH_TOOLS = ("find_call_path", "find_definition", "find_references", "get_call_neighbors", "get_dependencies", "get_dependents")
 TOOLS = ("search_code", "find_definition", "find_references", "get_call_neighbors", "find_call_path", "get_dependencies", "get_dependents", "get_file_outline", "read_file", "grep", "list_directory")
@@ -112,37 +115,104 @@ def _asked(steps: DataFrame, tool: str, arg: str, column: str) -> DataFrame:
     return steps.filter(F.col("tool") == tool).select(key, "repo_id", F.col("args")[arg].alias(column), "args")
 
 
-def observations(steps: DataFrame, hits: DataFrame, chunks: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+def named_ids(asked: DataFrame, symbols: DataFrame) -> DataFrame:
+    """A sieve of the symbols that answer to a name that is asked for in their repository. asked: (repo_id, symbol)."""
+    wanted = cut(sieves.sieve(asked.select("repo_id", "symbol")))
+    dotted = F.split("qualified_name", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(dotted)), lambda i: F.array_join(F.slice(dotted, i, F.size(dotted)), "."))
+    named = sieves.kept(symbols.filter("qualified_name is not null").select("id", "repo_id", F.explode(suffixes).alias("symbol")), wanted, "repo_id", "symbol")
+    return cut(sieves.sieve(named.select("id")))
+
+
+def among(symbols: DataFrame, **held: tuple[DataFrame, tuple[str, ...]]) -> DataFrame:
+    """The symbols that one of the sieves may hold by its columns."""
+    for name, (s, columns) in held.items():
+        symbols = sieves.marked(symbols, s, name, *columns)
+    return symbols.filter(reduce(lambda x, y: x | y, [F.col(n) for n in held])).drop(*held)
+
+
+def near(asked: DataFrame, symbols: DataFrame, edges: DataFrame, again: DataFrame, types: tuple[str, ...], incoming: bool) -> tuple[DataFrame, DataFrame]:
+    """(symbols, edges) that are all that graph.neighbours() can meet from the names asked for.
+
+    Whatever has an id that came more than once stays, as its columns may be those of several rows.
+    """
+    start, end = ("target_id", "source_id") if incoming else ("source_id", "target_id")
+    named = named_ids(asked, symbols)
+    ids = among(symbols.select("id"), named=(named, ("id",)), again=(again, ("id",)))
+    e = sieves.kept(edges.filter(F.col("edge_type").isin(*types)), cut(sieves.sieve(ids)), start)
+    ends = cut(sieves.sieve(e.select(end)))
+    return among(symbols, named=(named, ("id",)), ends=(ends, ("id",)), again=(again, ("id",))), e
+
+
+def walked(paths: DataFrame, symbols: DataFrame, edges: DataFrame, again: DataFrame) -> DataFrame | None:
+    """(query_id, ordinal, symbol, file_path, line, chunk_id): the nodes of the paths that are found; None where no path has both ends."""
+    ends = paths.select("query_id", "repo_id", F.explode(F.array("start", "end")).alias("symbol")).distinct()
+    named = named_ids(ends, symbols)
+    known = graph.resolve(ends, among(symbols, named=(named, ("id",)), again=(again, ("id",)))).select("repo_id", "symbol").distinct()
+    side = lambda c: known.withColumnRenamed("symbol", c)
+    both = cut(paths.join(side("start"), ["repo_id", "start"], "left_semi").join(side("end"), ["repo_id", "end"], "left_semi"))
+    if both.isEmpty():
+        return None
+    e = sieves.kept(edges.filter("edge_type = 'calls'"), cut(sieves.sieve(both.select("repo_id"))), "repo_id")
+    called = cut(sieves.sieve(e.select("target_id")))
+    s = among(symbols, named=(named, ("id",)), called=(called, ("id",)), again=(again, ("id",)))
+    nodes = cut(graph.call_paths(both.select("query_id", "repo_id", "start", "end"), s, e).select("query_id", "repo_id", F.posexplode("path").alias("ordinal", "qualified_name")))
+    alike = among(symbols, alike=(cut(sieves.sieve(nodes.select("repo_id", "qualified_name"))), ("repo_id", "qualified_name")), again=(again, ("id",)))
+    once = graph.symbols_once(alike).groupBy("repo_id", "qualified_name").agg(*[F.min(c).alias(c) for c in ("file_path", "line", "chunk_id")])
+    return nodes.join(once, ["repo_id", "qualified_name"]).select("query_id", (F.col("ordinal") + 1).alias("ordinal"), F.col("qualified_name").alias("symbol"), "file_path", "line", "chunk_id")
+
+
+def observations(steps: DataFrame, hits: DataFrame, chunks: DataFrame, symbols: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(query_id, step, tool, ordinal, symbol, file_path, line, chunk_id): what every step found, each tool run once for all.
 
-    Steps that read a file give its place; their text is left to lookup.read_lines.
+    Steps that read a file give its place; their text is left to lookup.read_lines. most: of each step that looks into
+    symbols or edges, only so many places are wanted. Tools no step asks for are not run, and each sees only the symbols
+    and edges that it may meet.
     """
+    used = {r.tool for r in steps.select("tool").distinct().collect()}  # at most the number of tools
     named = retrieval.one_per_id(chunks, "symbol_name")
     found = hits.join(named, "id").select("query_id", F.lit(1).alias("step"), F.lit("search_code").alias("tool"), F.col("rank").alias("ordinal"), F.col("symbol_name").alias("symbol"), "file_path", F.col("start_line").alias("line"), F.col("id").alias("chunk_id"))
+    symbols = symbols.select("id", "repo_id", "qualified_name", "kind", "file_path", "line", "chunk_id").filter("id is not null")
+    again = cut(sieves.repeated(symbols, "id"))
 
     def located(rows: DataFrame, tool: str, order: list[str]) -> DataFrame:
         part = F.split("query_id", "\x1f")
-        places = rows.select(part[0].alias("query_id"), part[1].cast("int").alias("step"), F.lit(tool).alias("tool"), F.col("qualified_name").alias("symbol"), "file_path", "line", "chunk_id").distinct()
-        ordered = retrieval.ranked(places.withColumn("k", F.concat_ws("\x1f", "query_id", F.col("step").cast("string"))), [F.asc(c) for c in order], by="k", name="ordinal")
-        return ordered.drop("k").select("query_id", "step", "tool", "ordinal", "symbol", "file_path", "line", "chunk_id")
+        places = rows.select("query_id", F.col("qualified_name").alias("symbol"), "file_path", "line", "chunk_id")
+        w = Window.partitionBy("query_id").orderBy(*[F.asc(c) for c in order])  # all columns of a place, so equal places have one number
+        ordered = places.withColumn("ordinal", F.dense_rank().over(w))
+        ordered = (ordered if most is None else ordered.filter(F.col("ordinal") <= most)).distinct()
+        return ordered.select(part[0].alias("query_id"), part[1].cast("int").alias("step"), F.lit(tool).alias("tool"), "ordinal", "symbol", "file_path", "line", "chunk_id")
 
     place = ["file_path", "line", "symbol", "chunk_id"]
     parts = [found]
-    parts.append(located(graph.resolve(_asked(steps, "find_definition", "symbol", "symbol"), symbols), "find_definition", ["symbol", "file_path", "line", "chunk_id"]))
-    parts.append(located(graph.references(_asked(steps, "find_references", "symbol", "symbol"), symbols, edges), "find_references", place))
-    parts.append(located(graph.dependencies(_asked(steps, "get_dependencies", "module", "symbol"), symbols, edges), "get_dependencies", place))
-    parts.append(located(graph.dependents(_asked(steps, "get_dependents", "module", "symbol"), symbols, edges), "get_dependents", place))
-    walk = _asked(steps, "get_call_neighbors", "symbol", "symbol")
-    side = lambda rows, keep: rows.join(walk.filter(F.col("args")["direction"].isin(keep, "both")).select("query_id").distinct(), "query_id", "left_semi")
-    parts.append(located(side(graph.callers(walk, symbols, edges), "callers").unionByName(side(graph.callees(walk, symbols, edges), "callees")), "get_call_neighbors", place))
-    files = _asked(steps, "get_file_outline", "path", "file_path")
-    inside = files.join(graph.symbols_once(symbols), ["repo_id", "file_path"])
-    parts.append(located(inside, "get_file_outline", place))
-    paths = steps.filter("tool = 'find_call_path'").select(F.concat_ws("\x1f", "query_id", F.col("step").cast("string")).alias("query_id"), "repo_id", F.col("args")["start"].alias("start"), F.col("args")["end"].alias("end"))
-    walked = graph.call_paths(paths, symbols, edges).select("query_id", "repo_id", F.posexplode("path").alias("ordinal", "qualified_name"))
-    once = graph.symbols_once(symbols).groupBy("repo_id", "qualified_name").agg(*[F.min(c).alias(c) for c in ("file_path", "line", "chunk_id")])
-    part = F.split("query_id", "\x1f")
-    parts.append(walked.join(once, ["repo_id", "qualified_name"]).select(part[0].alias("query_id"), part[1].cast("int").alias("step"), F.lit("find_call_path").alias("tool"), (F.col("ordinal") + 1).alias("ordinal"), F.col("qualified_name").alias("symbol"), "file_path", "line", "chunk_id"))
+    if "find_definition" in used:
+        asked = _asked(steps, "find_definition", "symbol", "symbol")
+        parts.append(located(graph.resolve(asked, among(symbols, named=(named_ids(asked, symbols), ("id",)), again=(again, ("id",)))), "find_definition", ["symbol", "file_path", "line", "chunk_id"]))
+    for tool, walk, arg, types, incoming in (
+        ("find_references", graph.references, "symbol", graph.MODULE_REFERENCE_TYPES, True),
+        ("get_dependencies", graph.dependencies, "module", ("imports",), False),
+        ("get_dependents", graph.dependents, "module", ("imports",), True),
+    ):
+        if tool in used:
+            asked = _asked(steps, tool, arg, "symbol")
+            parts.append(located(walk(asked, *near(asked, symbols, edges, again, types, incoming)), tool, place))
+    if "get_call_neighbors" in used:
+        asked = _asked(steps, "get_call_neighbors", "symbol", "symbol")
+        sides = []
+        for side, walk, incoming in (("callers", graph.callers, True), ("callees", graph.callees, False)):
+            some = asked.filter(F.col("args")["direction"].isin(side, "both"))
+            sides.append(walk(some, *near(some, symbols, edges, again, ("calls",), incoming)))
+        parts.append(located(sides[0].unionByName(sides[1]), "get_call_neighbors", place))
+    if "get_file_outline" in used:
+        files = _asked(steps, "get_file_outline", "path", "file_path")
+        inside = among(symbols, inside=(cut(sieves.sieve(files.select("repo_id", "file_path"))), ("repo_id", "file_path")), again=(again, ("id",)))
+        parts.append(located(files.join(graph.symbols_once(inside), ["repo_id", "file_path"]), "get_file_outline", place))
+    if "find_call_path" in used:
+        paths = steps.filter("tool = 'find_call_path'").select(F.concat_ws("\x1f", "query_id", F.col("step").cast("string")).alias("query_id"), "repo_id", F.col("args")["start"].alias("start"), F.col("args")["end"].alias("end"))
+        nodes = walked(paths, symbols, edges, again)
+        if nodes is not None:
+            part = F.split("query_id", "\x1f")
+            parts.append(nodes.select(part[0].alias("query_id"), part[1].cast("int").alias("step"), F.lit("find_call_path").alias("tool"), "ordinal", "symbol", "file_path", "line", "chunk_id"))
     reads = steps.filter("tool = 'read_file'").select("query_id", "step", "tool", F.lit(1).alias("ordinal"), F.col("args")["path"].alias("symbol"), F.col("args")["path"].alias("file_path"), F.col("args")["first"].cast("int").alias("line"), F.lit(None).cast("string").alias("chunk_id"))
     return reduce(DataFrame.unionByName, [*parts, reads])
 
@@ -156,7 +226,7 @@ def evidence(found: DataFrame) -> DataFrame:
 def rendered(questions: DataFrame, steps: DataFrame, found: DataFrame) -> DataFrame:
     """(query_id, answer): a templated answer in the question's language: three hits of the search, five places of each other step."""
     zh = is_chinese(F.col("query"))
-    kept = found.filter(F.col("ordinal") <= F.when(F.col("tool") == "search_code", 3).otherwise(5))
+    kept = found.filter(F.col("ordinal") <= F.when(F.col("tool") == "search_code", 3).otherwise(SHOWN))
     lines = kept.groupBy("query_id", "step", "tool").agg(F.array_sort(F.collect_list(F.struct("ordinal", "symbol", "file_path", "line"))).alias("places"))
     b = steps.select("query_id", "step", "tool", "args").join(lines.select("query_id", "step", "places"), ["query_id", "step"], "left").join(questions.select("query_id", "query"), "query_id")
     item = lambda p: F.when(zh, F.format_string("- `%s`，位于 `%s:%d`", p["symbol"], p["file_path"], p["line"])).otherwise(F.format_string("- `%s` at `%s:%d`", p["symbol"], p["file_path"], p["line"]))
@@ -172,13 +242,12 @@ def rendered(questions: DataFrame, steps: DataFrame, found: DataFrame) -> DataFr
 
 def answered(questions: DataFrame, chunks: DataFrame, symbols: DataFrame, edges: DataFrame, query_vectors: DataFrame | None = None, dim: int = 0) -> DataFrame:
     """(query_id, answer) for questions (query_id, repo_id, query, mode): search, plan, run, render."""
-    from chunkloom.session import cut
-
     hits = cut(first_search(questions, chunks, query_vectors, dim))
-    seeds = history.seeds(hits.join(retrieval.one_per_id(chunks, "symbol_name", "end_line"), "id").withColumn("rank", F.col("rank")), SEEDS)
-    ends = hits.join(retrieval.one_per_id(chunks, "symbol_name", "end_line"), "id").select("query_id", "file_path", "symbol_name", "start_line", "end_line").distinct()
+    c = sieves.kept(chunks.select("id", "symbol_name", "end_line"), cut(sieves.sieve(hits.select("id"))), "id")
+    seeds = history.seeds(hits.join(retrieval.one_per_id(c, "symbol_name", "end_line"), "id").withColumn("rank", F.col("rank")), SEEDS)
+    ends = hits.join(retrieval.one_per_id(c, "symbol_name", "end_line"), "id").select("query_id", "file_path", "symbol_name", "start_line", "end_line").distinct()
     steps = cut(plans(questions, seeds.join(ends, ["query_id", "file_path", "symbol_name", "start_line"])))
-    return rendered(questions, steps, cut(observations(steps, hits, chunks, symbols, edges)))
+    return rendered(questions, steps, cut(observations(steps, hits, c, symbols, edges, SHOWN)))
 
 
 def bind_history(questions: DataFrame, turns: DataFrame) -> DataFrame:

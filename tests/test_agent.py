@@ -1,4 +1,7 @@
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
+from test_blocks import written
 
 from chunkloom import schemas
 from chunkloom.plans import agent
@@ -38,6 +41,17 @@ def test_answers(spark):
     assert got["z"].startswith("与 ") and got["n"] == "No results found for `zzz`."
 
 
+def test_tools_shuffle_only_what_steps_may_meet(spark):
+    c = spark.createDataFrame([("1", "r", "a.py", "function", None, "needle", "def needle()", 3, 6, [], "def needle(): pass", None)], schemas.CHUNKS)
+    s = [(f"s{i}", "r", f"a{i}.b{i % 99}.f{i * 7919 % 10007}", "function", f"a{i}.py", i, None) for i in range(4000)]
+    s += [("n", "r", "a.needle", "function", "a.py", 3, "1"), ("n", "r", "b.needle", "function", "a.py", 3, "1"), ("x", "r", "z.caller", "function", "z.py", 8, None)]
+    e = [(f"e{i}", "r", f"s{i}", f"s{i * 31 % 4000}", "calls", i) for i in range(4000)] + [("e", "r", "x", "n", "calls", 6)]
+    q = spark.createDataFrame([("q", "r", "who calls `a.needle`", "full")], "query_id string, repo_id string, query string, mode string")
+    answered = SimpleNamespace(collect=lambda: agent.answered(q, c, spark.createDataFrame(s, schemas.SYMBOLS), spark.createDataFrame(e, schemas.EDGES)).collect())
+    got, size = written(spark, answered)  # with the jobs that run before the answers are asked for
+    assert "- `z.caller` at `z.py:8`" in got[0].answer and size < 300_000
+
+
 def test_follow_up(spark):
     q = spark.createDataFrame([("c", "r", "show its callers"), ("d", "r", "who calls `x`")], "query_id string, repo_id string, query string")
     t = spark.createDataFrame([(k, 0, "user", "tell me about `Session.send`") for k in "cd"], "conv_id string, turn int, role string, content string")
